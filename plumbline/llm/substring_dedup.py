@@ -209,7 +209,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge the runs of each range into one sorted run; the old runs go when the new table is complete."""
 
-        def run(key, runs: pa.Table) -> pa.Table:
+        def run(runs):
             parts = [_unpack(b.as_py(), False) for b in runs.column("blob")]
             k, c = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.argsort(k, kind="stable")
