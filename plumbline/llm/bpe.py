@@ -40,7 +40,7 @@ def byte_alphabet() -> list[str]:
 class ForcedBoundaryBpe:
     """The encoder of one vocabulary file of the ``tokenizers`` library with BPE model and word-end suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -54,7 +54,7 @@ class ForcedBoundaryBpe:
         self.alphabet = byte_alphabet()
         pre = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pre)
-        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added and specials else None
         self.usual = pre == _USUAL
         self.decimal = {i: str(i) for i in self.token}
         self.never = self._forced_cuts()
@@ -150,13 +150,14 @@ def _lower_each(ch: str) -> str:
     return ch.lower()
 
 
-_loaded: dict[str, ForcedBoundaryBpe] = {}
+_loaded: dict[tuple[str, bool], ForcedBoundaryBpe] = {}
 
 
-def load(path: str) -> ForcedBoundaryBpe:
-    if path not in _loaded:
-        _loaded[path] = ForcedBoundaryBpe(path)
-    return _loaded[path]
+def load(path: str, specials: bool = True) -> ForcedBoundaryBpe:
+    """The encoder of a file, once a worker; without ``specials`` their strings are ordinary text."""
+    if (path, specials) not in _loaded:
+        _loaded[path, specials] = ForcedBoundaryBpe(path, specials)
+    return _loaded[path, specials]
 
 
 def default_vocabulary() -> str:
@@ -209,5 +210,21 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenised(docs: DataFrame, *, path: str | None = None) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, token_ids) of every whole text of a table like documents."""
+    path = path or default_vocabulary()
+
+    def run(batches):
+        bpe = load(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = part.column(3).to_pylist()
+                n, ids, decoded = zip(*map(bpe.digest, texts), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"])
+
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>")
+
+
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     return digests(read_documents(spark, sf_dir))

@@ -153,7 +153,7 @@ class LanguageModels:
             texts = samples[lang][::calibrate_every]
             ce, n = self.entropies(texts)
             ce = ce[k][n > 0]
-            self.limits.append(float(ce.max()) * 1.15 if len(ce) else float("inf"))
+            self.limits.append(float(ce.max()) * 1.35 if len(ce) else float("inf"))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in nats a character, by language and text; and the number of characters scored."""
@@ -222,6 +222,21 @@ def predict(docs: DataFrame, models: LanguageModels, *, id_col: str = "doc_id",
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, models: LanguageModels, *, text_col: str = "text") -> DataFrame:
+    """The input rows, with all their columns, whose text is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array(~m.predict(part.column(at).to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on labelled rows that are not held out, then predict every row."""
     return predict(docs, fit(docs.where(~held_out_of("doc_id", 4, 2))))
