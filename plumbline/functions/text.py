@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Arabic block: its presence makes a text right-to-left.
 ARABIC = r"؀-ۿ"
@@ -81,7 +82,7 @@ def font_size(ink_height, page_height_mm, box_w_mm, box_h_mm, text, dense=False)
     return F.least(size, tall, wide)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of the standard library's difflib; null as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
