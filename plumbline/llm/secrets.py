@@ -60,11 +60,13 @@ class MarkovRatio:
         return _INDEX[np.frombuffer(s.encode("ascii", "replace"), np.uint8) & 127]
 
     def _model(self, strings: list[str]) -> np.ndarray:
-        counts = np.full((_SIZE, _SIZE), 0.5)
+        """log P(character | character before), interpolated with the character's own frequency."""
+        pairs = np.zeros((_SIZE, _SIZE))
         for s in strings:
             ids = self._ids(s)
-            np.add.at(counts, (np.append(0, ids[:-1]), ids), 1)
-        return np.log(counts / counts.sum(1, keepdims=True))
+            np.add.at(pairs, (np.append(0, ids[:-1]), ids), 1)
+        alone = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * _SIZE)
+        return np.log((pairs + 2 * alone) / (pairs.sum(1, keepdims=True) + 2))
 
     def score(self, s: str) -> float:
         ids = self._ids(s)
