@@ -6,6 +6,7 @@ Nothing here keeps state on one machine: what outlives a task is a Parquet table
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as every contract here means it.
 WS_CLASS = r"[\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the vectorised code; a longer document is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _BLOCK = 1 << 20
 _U = np.uint64
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -30,6 +31,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _return_memory() -> None:
+    """Have large freed arrays go back to the system at once: workers live on between tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # from this size on, memory is mapped for itself
+        libc.mallopt(-1, 1 << 20)  # and so much may stay free at the end of the heap
+    except OSError:  # another C library
+        pass
+
+
+_return_memory()
+
 # ---------------------------------------------------------------- scratch tables
 
 
@@ -64,6 +78,13 @@ def release(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound what a Python worker is handed at once; a session that asks for fewer rows keeps its setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bucket_edges, byte_view, hash_windows, hash_words, materialise, mix, pack_sorted, partitions, read_documents, release, scratch_path, spans, unpack_sorted, word_spans
+from .common import batch, bucket_edges, byte_view, hash_windows, hash_words, materialise, mix, pack_sorted, partitions, read_documents, release, scratch_path, small_batches, spans, unpack_sorted, word_spans
 
 WINDOW = 13
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 _U = np.uint64
 #: Base of the second fingerprint's sums; it is independent of the first.
 _CHECK_BASE = 0xA0761D6478BD642F | 1
@@ -198,7 +198,7 @@ class FingerprintIndex:
         """Matches (group, blob) of a batch whose ids are all larger than the index's; with ``keep`` its new run is added."""
         new = docs.mapInArrow(_postings(self.buckets), "bucket int, base long, blob binary").repartition(self.buckets, "bucket")
         runs = self.spark.table(self.table)
-        merged = new.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_merge(4 * self.buckets, keep), "bucket int, kind int, base long, blob binary")
+        merged = new.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_merge(self.buckets, keep), "bucket int, kind int, base long, blob binary")
         merged = materialise(merged, "op8-merged")
         if keep:
             self._write(merged.where("kind = 0").select("bucket", "blob"), "append")
@@ -230,6 +230,7 @@ class FingerprintIndex:
 def repeated_windows(docs: DataFrame, batches: int = 4) -> DataFrame:
     """(_of, hits): for each document with removed windows their sorted hashes."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     marks = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
     edges = [None, *(int(m) for m in marks), None]
