@@ -16,7 +16,7 @@ The base: words of every text are dealt by hash with the documents they are in;
 sum for each document, so no vocabulary is ever in one place.
 
 Defined results: null text counts as empty, which is one end token and a score of 0 bytes; rows that repeat a
-doc_id are scored each; null ids are trained on; without training texts every token is unknown and every bit
+doc_id are copies and are scored each; rows without an id are trained on and scored by their text; without training texts every token is unknown and every bit
 1/2; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -319,6 +319,7 @@ def _word_sums(groups: int):
         for b in batches:
             for k, w, d, u in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 held.setdefault(k, []).append((w.as_py(), d.as_py(), u.as_py()))
+        ids, sums, known = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         while held:
             _, blobs = held.popitem()
             words, counts, shape = [], [], []
@@ -329,43 +330,44 @@ def _word_sums(groups: int):
                 shape.append(np.frombuffer(w, np.uint32, n, 12 * n))
             u, c = _add(list(zip(words, counts, strict=True)))
             yield batch(kind=np.zeros(1, np.int32), part=np.zeros(1, np.int32), n=c.sum(keepdims=True), v=np.array([(c > 0).sum()], np.int64), blob=pa.array([b""], pa.binary()))
-            ids, sums, known, tokens = [], [], [], []
             for w, n_of, (_, d, x) in zip(words, shape, blobs, strict=True):
                 mine = c[np.searchsorted(u, w)]
                 docs, m = np.frombuffer(d, np.int64), len(x) // 8
                 at, times = np.frombuffer(x, np.uint32, m), np.frombuffer(x, np.uint32, m, 4 * m).astype(np.float64)
-                value = np.repeat(np.log10(mine + 0.5), n_of)
-                has = np.repeat(mine > 0, n_of)
                 ids.append(docs)
-                sums.append(np.bincount(at, times * value, len(docs)))
-                known.append(np.bincount(at, times * has, len(docs)))
-                tokens.append(np.bincount(at, times, len(docs)))
-            ids, sums, known, tokens = (np.concatenate(x) for x in (ids, sums, known, tokens))
-            part = (ids % groups).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(groups + 1))
-            out = [(g, order[a:b]) for g, (a, b) in enumerate(pairwise(edges.tolist())) if b > a]
-            blob = [ids[o].tobytes() + sums[o].tobytes() + known[o].astype(np.uint32).tobytes() + tokens[o].astype(np.uint32).tobytes() for _, o in out]
-            zero = np.zeros(len(out), np.int64)
-            yield batch(kind=np.ones(len(out), np.int32), part=np.array([g for g, _ in out], np.int32), n=zero, v=zero, blob=pa.array(blob, pa.binary()))
+                sums.append(np.bincount(at, times * np.repeat(np.log10(mine + 0.5), n_of), len(docs)))
+                known.append(np.bincount(at, times * np.repeat(mine > 0, n_of), len(docs)))
+        # One partial sum for each document that the task met, whatever number of ranges it was met in.
+        row, inv = np.unique(np.concatenate(ids), return_inverse=True)
+        sums, known = (np.bincount(inv, np.concatenate(x), len(row)) for x in (sums, known))
+        part = (row % groups).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(groups + 1))
+        out = [(g, order[a:b]) for g, (a, b) in enumerate(pairwise(edges.tolist())) if b > a]
+        base = np.array([row[o].min() for _, o in out], np.int64)
+        wide = np.array([int(row[o].max()) - int(row[o].min()) >= 1 << 32 for _, o in out], np.int64)
+        blob = [(row[o].tobytes() if w else (row[o] - b).astype(np.uint32).tobytes()) + sums[o].tobytes() + known[o].astype(np.uint32).tobytes() for (_, o), b, w in zip(out, base, wide, strict=True)]
+        yield batch(kind=np.ones(len(out), np.int32), part=np.array([g for g, _ in out], np.int32), n=base, v=wide, blob=pa.array(blob, pa.binary()))
 
     return run
 
 
 def _gather_sums(batches):
-    held: dict[int, list[bytes]] = {}
+    held: dict[int, list[tuple]] = {}
     for b in batches:
-        for g, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            held.setdefault(g, []).append(blob.as_py())
+        for g, base, wide, blob in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+            held.setdefault(g, []).append((base, wide, blob.as_py()))
     while held:
         _, blobs = held.popitem()
         cols = []
-        for x in blobs:
-            n = len(x) // 24
-            cols.append((np.frombuffer(x, np.int64, n), np.frombuffer(x, np.float64, n, 8 * n), np.frombuffer(x, np.uint32, n, 16 * n), np.frombuffer(x, np.uint32, n, 20 * n)))
-        row, sums, known, tokens = (np.concatenate(c) for c in zip(*cols, strict=True))
+        for base, wide, x in blobs:
+            size = 8 if wide else 4
+            n = len(x) // (size + 12)
+            ids = np.frombuffer(x, np.int64, n) if wide else np.frombuffer(x, np.uint32, n).astype(np.int64) + base
+            cols.append((ids, np.frombuffer(x, np.float64, n, size * n) if wide or not n % 2 else np.frombuffer(x[size * n : (size + 8) * n], np.float64), np.frombuffer(x, np.uint32, n, (size + 8) * n)))
+        row, sums, known = (np.concatenate(c) for c in zip(*cols, strict=True))
         u, inv = np.unique(row, return_inverse=True)
-        yield batch(_row=u, logs=np.bincount(inv, sums), n_known=np.bincount(inv, known).astype(np.int64), n_tokens=np.bincount(inv, tokens).astype(np.int64))
+        yield batch(_row=u, logs=np.bincount(inv, sums), n_known=np.bincount(inv, known).astype(np.int64))
 
 
 def _ctw_scores(shared):
@@ -375,33 +377,40 @@ def _ctw_scores(shared):
             data, offsets = byte_view(b.column(2))
             score = [tree.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans(offsets, 4 * CHUNK_BYTES)]
             bytes_ = np.diff(offsets)
+            n_tokens = np.concatenate([np.diff(word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2]) for i, j in spans(offsets)] or [np.zeros(0, np.int64)]) + 1
             total = np.concatenate(score) if score else np.zeros(0)
             bits = np.where(bytes_ > 0, -total / math.log10(2) / np.maximum(bytes_, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(bits)], names=["doc_id", "held_out", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_tokens), pa.array(total), pa.array(bits), b.column(3)], names=["doc_id", "held_out", "n_tokens", "score", "bits_per_byte", "_row"])
 
     return run
 
 
+def _row_key() -> F.Column:
+    """The id, or a number made of the text where there is none."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61)))
+
+
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held_part: int = 1) -> DataFrame:
     """One row per document: the base's counts and score, and the context tree's score and bits per byte."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out_of(id_col, parts, held_part).alias("held_out"), F.col(text_col).alias("text"))
     tree = train(rows.where(~F.col("held_out")).select("text"))
     shared = spark.sparkContext.broadcast(tree)
-    scored = rows.mapInArrow(_ctw_scores(shared), "doc_id long, held_out boolean, score double, bits_per_byte double")
-
-    # Rows of one id (or none) share their training part, and the sums are divided among them by their own counts.
-    width = partitions(spark)
-    words = rows.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("row"), "text", (~F.col("held_out")).alias("learn"))
-    packed = words.mapInArrow(_word_postings(4 * width), "bucket int, words binary, docs binary, uses binary").repartition(width, "bucket")
-    sums = materialise(packed.mapInArrow(_word_sums(4 * width), "kind int, part int, n long, v long, blob binary"), "op5-sums")
+    scored = rows.withColumn("_row", _row_key()).select("doc_id", "held_out", "text", "_row").mapInArrow(_ctw_scores(shared), "doc_id long, held_out boolean, n_tokens long, score double, bits_per_byte double, _row long")
+
+    # Rows that share an id are copies: their sums are divided evenly.
+    # A document has a partial sum from each range of words it meets, so there are fewer ranges than partitions.
+    width = max(6, partitions(spark) // 2)
+    words = rows.select(_row_key().alias("row"), "text", (~F.col("held_out")).alias("learn"))
+    packed = words.mapInArrow(_word_postings(width), "bucket int, words binary, docs binary, uses binary").repartition(width, "bucket")
+    sums = materialise(packed.mapInArrow(_word_sums(width), "kind int, part int, n long, v long, blob binary"), "op5-sums")
     n, v = sums.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    base = sums.where("kind = 1").select("part", "blob").repartition(width, "part").mapInArrow(_gather_sums, "_row long, logs double, n_known long, n_tokens long")
-    copies = rows.groupBy(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_row")).agg(F.count(F.lit(1)).alias("_copies"))
-    out = scored.withColumn("_row", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(base.join(copies, "_row"), "_row")
+    base = sums.where("kind = 1").select("part", "n", "v", "blob").repartition(width, "part").mapInArrow(_gather_sums, "_row long, logs double, n_known long")
+    copies = rows.groupBy(_row_key().alias("_row")).agg(F.count(F.lit(1)).alias("_copies"))
+    out = scored.join(base.join(copies, "_row"), "_row")
     share = lambda c: (F.col(c) / F.col("_copies")).cast("long")  # noqa: E731  repeated rows are equal
     norm = math.log10(n + 0.5 * (v + 1))
-    return out.select("doc_id", "held_out", share("n_tokens").alias("n_tokens"), share("n_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") / F.col("_copies") - share("n_tokens") * F.lit(norm)).alias("base_score"), "score", "bits_per_byte")
+    return out.select("doc_id", "held_out", "n_tokens", share("n_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") / F.col("_copies") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score", "bits_per_byte")
 
 
 def op5_ctw(spark, sf_dir: str) -> DataFrame:
