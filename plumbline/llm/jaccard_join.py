@@ -12,6 +12,9 @@ two linking sets always share a rare token or a pair. The number of classes foll
 indexes its pairs under the class counts of all sizes it may link with, and pairs stay few (about half a
 set's size). Exact sharing is verified on the whole sets.
 
+How many signatures a pair meets in bounds its intersection from above; pairs that cannot reach the threshold
+are settled without fetching their sets.
+
 Equal sets are one node from the start, so copies are never paired. Within a posting each text is first paired
 with a pivot only; after components are known, the rest of a posting is compared across different components.
 Every pair that shares a posting is thus in one component already or has been compared: no link is lost.
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bucket_edges, byte_view, hash_windows, hash_words, lower_ascii, materialise, mix, partitions, read_documents, release, spans, word_spans
+from .common import batch, bucket_edges, byte_view, hash_windows, hash_words, lower_ascii, materialise, mix, partitions, read_documents, release, small_batches, spans, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -42,6 +45,9 @@ FREQUENT = 2 / COUNTERS
 MAP_BITS = 1 << 25
 FLUSH = 1 << 20
 SMALL = 12
+MANY = 1 << 30
+#: Signatures of a pair that may fall together in the 32 bits by which a range tells them apart.
+SLACK = 2
 _U = np.uint64
 
 
@@ -107,14 +113,14 @@ def _tiers(n: int, num: int, den: int) -> set[int]:
     return {n.bit_length(), (-(-num * n // den)).bit_length()}
 
 
-def signatures(s: np.ndarray, is_frequent: np.ndarray, num: int = 3, den: int = 4) -> np.ndarray:
-    """The signatures of one set of at least two sorted tokens; threshold num / den."""
+def signatures(s: np.ndarray, is_frequent: np.ndarray, num: int = 3, den: int = 4) -> tuple[np.ndarray, bool]:
+    """The signatures of one set of at least two sorted tokens, and whether some are pairs; threshold num / den."""
     n = len(s)
     need = -(-num * n // den)
     rare, often = s[~is_frequent], s[is_frequent]
     p = n - need + 1
     if len(rare) >= p or not len(often):
-        return rare[:p]
+        return rare[:p], False
     out = [rare]
     for tier in _tiers(n, num, den):
         classes = max(1, (1 << (tier - 1)) * (den - num) // den)
@@ -134,7 +140,7 @@ def signatures(s: np.ndarray, is_frequent: np.ndarray, num: int = 3, den: int =
                 break
             out.append(mix(t[same] * _U(0x9E3779B97F4A7C15) + t[same + step] * _U(0xC2B2AE3D27D4EB4F) + _U(tier)))
             step += 1
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), True
 
 
 def _postings(frequent: np.ndarray, buckets: int):
@@ -161,12 +167,12 @@ def _postings(frequent: np.ndarray, buckets: int):
                     seen.add(k)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        out = signatures(s, frequent[at] == s)
+                        out, extended = signatures(s, frequent[at] == s)
                     else:
-                        out = s[: len(s) - (3 * len(s) + 3) // 4 + 1]
+                        out, extended = s[: len(s) - (3 * len(s) + 3) // 4 + 1], False
                     sig.append(out)
                     key.append(np.full(len(out), k, np.int64))
-                    size.append(np.full(len(out), len(s), np.uint32))
+                    size.append(np.full(len(out), 2 * len(s) + extended, np.uint32))
                     held += len(out)
                 if held >= FLUSH:
                     yield flush(sig, key, size)
@@ -193,24 +199,28 @@ def _groups(batches):
         sig, key, size = sig[keep], key[keep], size[keep]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         runs = np.diff(np.append(first, len(sig)))
-        done, rows = set(), []
+        rows: dict[bytes, list[int]] = {}
         for a, n in zip(first[runs > 1].tolist(), runs[runs > 1].tolist(), strict=True):
-            gid = hash(key[a : a + n].tobytes())
-            if gid not in done:
-                done.add(gid)
-                rows.append((a, a + n))
-        for at in range(0, len(rows), 4096):
-            part = rows[at : at + 4096]
-            gids = [set_key(np.sort(key[a:b].view(_U))) for a, b in part]
-            yield batch(gid=np.array(gids, np.int64), keys=pa.array([key[a:b] for a, b in part], pa.list_(pa.int64())), sizes=pa.array([size[a:b].astype(np.int32) for a, b in part], pa.list_(pa.int32())))
+            rows.setdefault(key[a : a + n].tobytes(), [a, a + n, 0])[2] += 1
+        rows_ = list(rows.values())
+        for at in range(0, len(rows_), 4096):
+            part = rows_[at : at + 4096]
+            gids = [set_key(np.sort(key[a:b].view(_U))) for a, b, _ in part]
+            yield batch(gid=np.array(gids, np.int64), keys=pa.array([key[a:b] for a, b, _ in part], pa.list_(pa.int64())), sizes=pa.array([size[a:b].astype(np.int64) for a, b, _ in part], pa.list_(pa.int64())), times=np.array([n for _, _, n in part], np.int64))
 
 
 def _pivot_pairs(batches):
-    """All pairs of a small group; in a larger one each set with the smallest set that it may link with."""
+    """All pairs of a small group; in a larger one each set with the smallest set that it may link with.
+
+    ``shared`` counts the signatures that a pair meets in, or is MANY where they cannot be counted; ``need`` is
+    the least count with which the pair can link: common tokens beyond the shorter prefix are at most its
+    set's remainder, and the whole intersection must reach 3/7 of both sizes.
+    """
     for b in batches:
-        left, right = [], []
-        for keys, sizes in zip(b.column(0), b.column(1), strict=True):
-            k, n = keys.values.to_numpy(), sizes.values.to_numpy().astype(np.int64)
+        found = []
+        for keys, sizes, times in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+            k, n = keys.values.to_numpy(), sizes.values.to_numpy()
+            n, extended = n >> 1, (n & 1).astype(bool)
             if len(k) <= SMALL:
                 i, j = np.triu_indices(len(k), 1)
             else:
@@ -221,17 +231,24 @@ def _pivot_pairs(batches):
                     j.append(np.arange(at + 1, end))
                     at = max(end, at + 1)
                 i, j = np.concatenate(i), np.concatenate(j)
+                times = MANY
             ok = 4 * n[i] >= 3 * n[j]
-            left.append(k[i[ok]])
-            right.append(k[j[ok]])
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-            yield batch(a=pairs[:, 0], b=pairs[:, 1])
-
-
-def _sets_of(bitmap: np.ndarray):
-    """(key, tokens) of the texts that the map lets through."""
+            i, j = i[ok], j[ok]
+            shared = np.where(extended[i] | extended[j], MANY, times)
+            need = np.maximum(1, -(-3 * (n[i] + n[j]) // 7) - -(-3 * np.maximum(n[i], n[j]) // 4) + 1 - SLACK)
+            found.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), shared, need))
+        if found:
+            x, y, shared, need = (np.concatenate(f) for f in zip(*found, strict=True))
+            order = np.lexsort((y, x))
+            x, y, shared, need = x[order], y[order], shared[order], need[order]
+            first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
+            if len(first):
+                yield batch(a=x[first], b=y[first], shared=np.add.reduceat(shared, first).astype(np.int64), need=need[first].astype(np.int64))
+
+
+def _sets_of(bitmap: np.ndarray, bits: int):
+    """(key, n, tokens) of the texts that the map lets through; tokens by their upper ``bits``."""
+    kind, arrow = (np.int32, pa.int32()) if bits == 32 else (np.int64, pa.int64())
 
     def run(batches):
         for b in batches:
@@ -244,20 +261,26 @@ def _sets_of(bitmap: np.ndarray):
                     sets = list(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                     keep = [s for s in sets if len(s)]
                     if keep:
-                        yield batch(key=np.array([set_key(s) for s in keep], np.int64), tokens=pa.array([s.view(np.int64) for s in keep], pa.list_(pa.int64())))
+                        tokens = [(s >> _U(64 - bits)).astype(np.uint32 if bits == 32 else _U).view(kind) for s in keep]
+                        yield batch(key=np.array([set_key(s) for s in keep], np.int64), n=np.array([len(s) for s in keep], np.int64), tokens=pa.array(tokens, pa.list_(arrow)))
 
     return run
 
 
 class _Linker:
-    """Fetches the sets of candidate pairs and verifies them."""
+    """Fetches the sets of candidate pairs and verifies them.
+
+    Half of each token's bits nearly always decide; a pair that two tokens more or less would turn is decided by
+    all bits, so the outcome is that of the whole sets.
+    """
+
+    DOUBT = 2
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]):
-        self.docs, self.nodes, self.threshold = docs, nodes, threshold
+        self.docs, self.nodes, self.threshold, self.used = docs, nodes, threshold, []
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` that link."""
-        num, den = self.threshold
+    def _common(self, pairs: DataFrame, bits: int) -> DataFrame:
+        """(a, b, total, common): sizes of both sets together and of what they share."""
         ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         ids = ends.join(self.nodes, "key").select((F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS)) + 1).alias("h"))
         rows = ids.select(F.bitmap_bucket_number("h").alias("k"), F.bitmap_bit_position("h").alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
@@ -265,17 +288,36 @@ class _Linker:
         for r in rows:  # at most MAP_BITS / 32,768 rows of 4 KiB
             bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
         texts = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("h"))
-        sets = texts.mapInArrow(_sets_of(bitmap), "key long, tokens array<long>")
-        sets = materialise(sets.join(ends, "key", "left_semi").dropDuplicates(["key"]), "op9-sets")
-        with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-        both = with_b.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"), sets.scratch
+        sets = texts.mapInArrow(_sets_of(bitmap, bits), f"key long, n long, tokens array<{'int' if bits == 32 else 'long'}>")
+        sets = materialise(sets.join(ends, "key", "left_semi"), "op9-sets")
+        self.used.append(sets.scratch)
+        with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y")), "b")
+        both = with_b.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x")), "a")
+        return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` that link."""
+        num, den = self.threshold
+        links = lambda common: den * common >= num * (F.col("total") - common)
+        first = materialise(self._common(pairs, 32), "op9-common")
+        release(pairs.sparkSession, *self.used)
+        self.used = [first.scratch]
+        sure, open_ = links(F.col("common") - self.DOUBT), links(F.col("common") + self.DOUBT)
+        out, odd = first.where(sure).select("a", "b"), first.where(open_ & ~sure).select("a", "b")
+        if not odd.isEmpty():
+            exact = self._common(odd, 64)
+            out = out.union(exact.where(links(F.col("common"))).select("a", "b"))
+        return out
+
+    def close(self, spark) -> None:
+        release(spark, *self.used)
+        self.used = []
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the components of links at similarity 0.75."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     seen = materialise(docs.mapInArrow(_describe, "kind int, a long, b long, c long"), "op9-seen")
     total = seen.where("kind = 0").agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
@@ -286,31 +328,34 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     parts = partitions(spark)
     packed = docs.where("text IS NOT NULL").mapInArrow(_postings(frequent, 4 * parts), "bucket int, blob binary").repartition(parts, "bucket")
-    groups = packed.mapInArrow(_groups, "gid long, keys array<long>, sizes array<int>").dropDuplicates(["gid"])
+    groups = packed.mapInArrow(_groups, "gid long, keys array<long>, sizes array<long>, times long")
+    groups = groups.groupBy("gid").agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"), F.sum("times").alias("times"))
     groups = materialise(groups, "op9-groups")
     release(spark)
 
     linker = _Linker(docs, nodes, (3, 4))
-    first = materialise(groups.select("keys", "sizes").mapInArrow(_pivot_pairs, "a long, b long").distinct(), "op9-pairs")
-    links, used = linker.verify(first)
-    links = materialise(links, "op9-links")
-    release(spark, used)
+    met = groups.select("keys", "sizes", "times").mapInArrow(_pivot_pairs, "a long, b long, shared long, need long")
+    first = materialise(met.groupBy("a", "b").agg((F.sum("shared") >= F.first("need")).alias("open")), "op9-pairs")
+    links = materialise(linker.verify(first.where("open").select("a", "b")), "op9-links")
+    linker.close(spark)
     labels = materialise(components(links, label="op9-cc"), "op9-labels")
 
     # What shares a posting but no component yet is compared across components; sets that met no pivot keep their own key.
-    large = groups.where(F.size("keys") > SMALL).select("gid", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("gid", F.col("m.keys").alias("key"), F.col("m.sizes").alias("n"))
+    large = groups.where(F.size("keys") > SMALL).select("gid", "times", F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
+    large = large.select("gid", "times", F.col("m.keys").alias("key"), F.shiftright("m.sizes", 1).alias("n"), F.col("m.sizes").bitwiseAND(F.lit(1)).alias("extended"))
     members = large.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     members = materialise(members, "op9-members")
     mixed = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
     open_ = members.join(mixed, "gid", "left_semi")
     x, y = open_.alias("x"), open_.alias("y")
     more = x.join(y, F.expr("x.gid = y.gid AND x.component < y.component AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"))
-    more = more.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = more.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.expr("CASE WHEN x.extended + y.extended > 0 THEN 1073741824L ELSE x.times END").alias("shared"), F.expr(f"greatest(1, ceil((x.n + y.n) * 3 / 7.0D - 1e-9D) - ceil(greatest(x.n, y.n) * 3 / 4.0D - 1e-9D) + 1 - {SLACK})").alias("need"))
+    # A pair that met in no small group has all its common signatures here, so the same bound settles it.
+    more = more.groupBy("a", "b").agg((F.sum("shared") >= F.first("need")).alias("open")).where("open").select("a", "b").join(first, ["a", "b"], "left_anti")
     more = materialise(more, "op9-more")
     if not more.isEmpty():
-        extra, used = linker.verify(more)
-        links = materialise(links.union(extra), "op9-links2")
-        release(spark, used)
+        links = materialise(links.union(linker.verify(more)), "op9-links2")
+        linker.close(spark)
         labels = materialise(components(links, label="op9-cc2"), "op9-labels2")
     release(spark, members.scratch, groups.scratch, first.scratch, more.scratch)
 
