@@ -335,7 +335,8 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     linker = _Linker(docs, nodes, (3, 4))
     met = groups.select("keys", "sizes", "times").mapInArrow(_pivot_pairs, "a long, b long, shared long, need long")
-    first = materialise(met.groupBy("a", "b").agg((F.sum("shared") >= F.first("need")).alias("open")), "op9-pairs")
+    met = met.groupBy("a", "b").agg(F.sum("shared").alias("met"), F.first("need").alias("need"))
+    first = materialise(met.select("a", "b", "met", (F.col("met") >= F.col("need")).alias("open")), "op9-pairs")
     links = materialise(linker.verify(first.where("open").select("a", "b")), "op9-links")
     linker.close(spark)
     labels = materialise(components(links, label="op9-cc"), "op9-labels")
@@ -350,8 +351,9 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     x, y = open_.alias("x"), open_.alias("y")
     more = x.join(y, F.expr("x.gid = y.gid AND x.component < y.component AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"))
     more = more.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.expr("CASE WHEN x.extended + y.extended > 0 THEN 1073741824L ELSE x.times END").alias("shared"), F.expr(f"greatest(1, ceil((x.n + y.n) * 3 / 7.0D - 1e-9D) - ceil(greatest(x.n, y.n) * 3 / 4.0D - 1e-9D) + 1 - {SLACK})").alias("need"))
-    # A pair that met in no small group has all its common signatures here, so the same bound settles it.
-    more = more.groupBy("a", "b").agg((F.sum("shared") >= F.first("need")).alias("open")).where("open").select("a", "b").join(first, ["a", "b"], "left_anti")
+    # All large groups of these pairs are here; with what they share in small groups that is all, so the same bound settles them.
+    more = more.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).join(first, ["a", "b"], "left")
+    more = more.where("NOT coalesce(open, false) AND shared + coalesce(met, 0) >= need").select("a", "b")
     more = materialise(more, "op9-more")
     if not more.isEmpty():
         links = materialise(links.union(linker.verify(more)), "op9-links2")

@@ -345,3 +345,20 @@ def test_ctw_against_plain_recursion(monkeypatch):
                 q = one(p[a - 2 : a][::-1], 1 << bit | p[a] >> (8 - bit))
                 want += math.log10(q if p[a] >> (7 - bit) & 1 else 1 - q)
         assert got == pytest.approx(want)
+
+
+def test_jaccard_join_of_near_copies_with_a_common_passage(spark, monkeypatch):
+    """Signatures in small and in large groups count together: neither alone would open these pairs."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"q{rng.randrange(1 << 40)}" for _ in range(n)]
+    passage, rows = fresh(60), []
+    for i in range(14):  # smaller than the near copies, so that none of those is the pivot
+        rows.append((i, " ".join(passage + fresh(34))))
+    for i in range(12):
+        own, ends = fresh(30), [fresh(14), fresh(14)]
+        rows += [(100 + 2 * i + k, " ".join(passage + own + ends[k])) for k in range(2)]
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1.0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
+    want = jaccard_brute(rows)
+    assert got == want and len({c for _, c in want.values()}) == 26
