@@ -7,10 +7,11 @@ depth Pw = Pe. After training the weights are fixed, and a bit's probability is
 weight of each depth being its posterior. A context that was never met says 1/2. The code length of a text is
 minus the sum of the logarithms; ``score`` is that sum to base 10.
 
-Training counts cover all training texts: each task sends its distinct byte strings of DEPTH + 1 bytes with
-counts, dealt by the most recent context byte, so that every subtree below depth 1 is built in one place; depth
-0 needs 255 sums. The tree is sent to the scorers only while its size is within ``NODES``; a corpus whose tree
-is larger is scored with the same tree cut one level lower until it fits, which is stated in ``depth``.
+Training counts cover all training texts, and the tree has all its levels whatever its size: it is never in one
+place. Texts are packed in blocks; each block sends its distinct byte strings of DEPTH + 1 bytes with their
+training counts, dealt by the two most recent context bytes, so that every subtree from depth 2 on is built in one
+place. Depths 0 and 1 have at most 65,536 nodes, which are summed and sent back. The subtrees then answer each
+block's strings with their logarithms, and the block adds them up for its documents.
 
 The base: words of every text are dealt by hash with the documents they are in; what comes back is a partial
 sum for each document, so no vocabulary is ever in one place.
@@ -23,19 +24,22 @@ doc_id are copies and are scored each; rows without an id are trained on and sco
 from __future__ import annotations
 
 import math
-from itertools import pairwise
+import uuid
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, batch, bucket_edges, byte_view, hash_words, lower_ascii, materialise, pack_sorted, partitions, read_documents, release, spans, unpack_sorted, word_spans
+from .common import CHUNK_BYTES, batch, bucket_edges, byte_view, hash_words, lower_ascii, materialise, mix, pack_sorted, partitions, read_documents, release, spans, unpack_sorted, word_spans
 from .language_id import held_out_of
 
 DEPTH = 4
-#: Nodes of the tree that may be sent to every scorer (16 bytes each).
-NODES = 12_000_000
+#: Bytes of text in a block, and the ranges that contexts of two bytes are dealt to.
+BLOCK = 1 << 23
+BUCKETS = 256
 FLUSH = 1 << 21
 _U = np.uint64
 #: Stands for the end of a text among the word hashes.
@@ -93,20 +97,59 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _gram_counts(batches):
-    """(byte, blob): a task's distinct grams with counts, by most recent context byte."""
-    parts = []
+def block_grams(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct grams, sorted, with training counts; their order by bucket, and each bucket's bounds in it."""
+    parts = [(np.zeros(0, _U), np.zeros(0, np.int64))]
     for b in batches:
-        data, offsets = byte_view(b.column(0))
+        learn = ~np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+        data, offsets = byte_view(b.column(2))
         for i, j in spans(offsets):
-            parts.append(tally(grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]))
+            codes, doc = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            keys = tally(codes)[0]
+            learned, times = tally(codes[learn[i:j][doc]])
+            counts = np.zeros(len(keys), np.int64)
+            counts[np.searchsorted(keys, learned)] = times
+            parts.append((keys, counts))
             if len(parts) == 8:
                 parts = [_add(parts)]
-    if parts:
-        keys, counts = _add(parts)
-        edges = np.searchsorted(keys, np.arange(257, dtype=_U) << _U(8 * DEPTH))
-        rows = [(c, a, b) for c, (a, b) in enumerate(pairwise(edges.tolist())) if b > a]
-        yield batch(byte=np.array([r[0] for r in rows], np.int32), blob=pa.array([pack_sorted(keys[a:b]) + counts[a:b].astype(np.int64).tobytes() for _, a, b in rows], pa.binary()))
+    keys, counts = _add(parts)
+    bucket = (mix(keys >> _U(8 * (DEPTH - 1))) % _U(BUCKETS)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return keys, counts, order, np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+
+
+def _blocks(batches):
+    """(block, bucket, body, counts): bucket -1 is a block's rows as an Arrow stream, the others its grams and training counts."""
+
+    def flush(held):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as out:
+            for part in held:
+                out.write_batch(part)
+        keys, counts, order, edges = block_grams(held)
+        rows = [(k, order[a:b]) for k, (a, b) in enumerate(pairwise(edges.tolist())) if b > a]
+        body = [sink.getvalue().to_pybytes(), *(pack_sorted(keys[at]) for _, at in rows)]
+        learned = [None, *(counts[at].astype(np.uint32).tobytes() if counts[at].any() else None for _, at in rows)]
+        block = np.full(len(body), uuid.uuid4().int >> 65, np.int64)
+        return batch(block=block, bucket=np.array([-1, *(k for k, _ in rows)], np.int32), body=pa.array(body, pa.binary()), counts=pa.array(learned, pa.binary()))
+
+    held, size = [], 0
+    for b in batches:
+        offsets = byte_view(b.column(2))[1]
+        for i, j in spans(offsets, BLOCK):
+            if held and size + offsets[j] - offsets[i] > BLOCK:
+                yield flush(held)
+                held, size = [], 0
+            held.append(b.slice(i, j - i))
+            size += int(offsets[j] - offsets[i])
+    if held:
+        yield flush(held)
+
+
+def _rows(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            yield tuple(c[k].as_py() for c in b.columns)
 
 
 def node_counts(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,26 +190,62 @@ def weigh(keys: np.ndarray, counts: np.ndarray, top: int, deepest: int) -> list[
     return out[::-1]
 
 
-def _subtree(deepest: int):
-    """Build the nodes at depth 1 and more below one most recent byte. depth 0 rows carry what the root needs."""
-
-    def run(rows):
+def _merge(batches):
+    """From (bucket, body, counts) sorted by bucket: a row with all training counts of each bucket, and at bucket -1 what depth 1 needs."""
+    longer, zeros, ones = np.zeros(1 << 16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    for bucket, rows in groupby(_rows(batches), itemgetter(0)):
         parts = []
-        for blob in rows.column("blob"):
-            blob = blob.as_py()
-            n = len(blob) // 16
-            parts.append((unpack_sorted(blob[: 8 * n]), np.frombuffer(blob, np.int64, n, 8 * n)))
-        levels = weigh(*_add(parts), 1, deepest)
-        depths, blobs, nodes = [], [], []
-        for d, (k, p, beta, *_) in enumerate(levels, 1):
-            depths.append(d)
-            nodes.append(len(k))
-            blobs.append(k.tobytes() + p.astype(np.float32).tobytes() + beta.astype(np.float32).tobytes())
-        k, _, _, total, zeros, ones = levels[0]
-        depths.append(0)
-        nodes.append(0)
-        blobs.append((k & _U(255)).astype(np.int64).tobytes() + total.tobytes() + zeros.astype(np.int64).tobytes() + ones.astype(np.int64).tobytes())
-        return pa.table({"depth": pa.array(depths, pa.int32()), "nodes": pa.array(nodes, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        for _, body, counts in rows:
+            parts.append((unpack_sorted(body), np.frombuffer(counts, np.uint32).astype(np.int64)))
+            if len(parts) == 16:
+                parts = [_add(parts)]
+        keys, counts = _add(parts)
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        node, _, _, total, z, o = weigh(keys, counts, 2, DEPTH)[0]
+        at = (((node >> _U(16)) << _U(8)) | (node & _U(255))).astype(np.int64)
+        np.add.at(longer, at, total)
+        np.add.at(zeros, at, z)
+        np.add.at(ones, at, o)
+        yield batch(bucket=np.array([bucket], np.int32), body=pa.array([pack_sorted(keys)], pa.binary()), counts=pa.array([counts.tobytes()], pa.binary()))
+    at = np.flatnonzero(zeros + ones)
+    if len(at):
+        yield batch(bucket=np.array([-1], np.int32), body=pa.array([at.tobytes()], pa.binary()), counts=pa.array([longer[at].tobytes() + zeros[at].tobytes() + ones[at].tobytes()], pa.binary()))
+
+
+def _top(rows) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Depths 0 and 1 of the tree from what each task has summed: at most 255 and 65,280 nodes."""
+    longer, zeros, ones = np.zeros(1 << 16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    for r in rows:
+        at, blob = np.frombuffer(r["body"], np.int64), bytes(r["counts"])
+        n = len(at)
+        longer[at] += np.frombuffer(blob, np.float64, n)
+        zeros[at] += np.frombuffer(blob, np.int64, n, 8 * n)
+        ones[at] += np.frombuffer(blob, np.int64, n, 16 * n)
+    out = []
+    for _ in range(2):
+        node = np.flatnonzero(zeros + ones)
+        z, o = zeros[node], ones[node]
+        own = log_kt(z, o)
+        total = np.logaddexp(own, longer[node]) - math.log(2)
+        out.append((node.astype(_U), (o + 0.5) / (z + o + 1.0), np.exp(own - math.log(2) - total)))
+        longer, zeros, ones = np.bincount(node & 255, total, 256), np.zeros(256, np.int64), np.zeros(256, np.int64)
+        np.add.at(zeros, node & 255, z)
+        np.add.at(ones, node & 255, o)
+    return out[::-1]
+
+
+def _answer(shared):
+    """From (bucket, block, body, counts) sorted by bucket and block, training counts first: the logarithms of each block's grams."""
+
+    def run(batches):
+        empty = (np.zeros(0, _U), np.zeros(0), np.zeros(0))
+        for bucket, rows in groupby(_rows(batches), itemgetter(0)):
+            tree = ContextTree([*shared.value, *[empty] * (DEPTH - 1)])
+            for _, block, body, counts in rows:
+                if block < 0:
+                    tree = ContextTree([*shared.value, *(x[:3] for x in weigh(unpack_sorted(body), np.frombuffer(counts, np.int64), 2, DEPTH))])
+                else:
+                    yield batch(block=np.array([block], np.int64), bucket=np.array([bucket], np.int32), body=pa.array([tree.log_probs(unpack_sorted(body)).astype(np.float32).tobytes()], pa.binary()))
 
     return run
 
@@ -225,44 +304,6 @@ class ContextTree:
         return np.bincount(doc, weights=value, minlength=len(offsets) - 1)
 
 
-def train(texts: DataFrame) -> ContextTree:
-    """Learn from all rows of a one-column table of texts."""
-    spark = texts.sparkSession
-    counts = materialise(texts.select(F.col(texts.columns[0]).alias("text")).where("text <> ''").mapInArrow(_gram_counts, "byte int, blob binary"), "op5-grams")
-    deepest = DEPTH
-    while True:
-        built = materialise(counts.groupBy("byte").applyInArrow(_subtree(deepest), "depth int, nodes long, blob binary"), "op5-tree")
-        size = built.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
-        if size <= NODES or deepest == 1:
-            break
-        release(spark, built.scratch)
-        deepest -= 1
-    parts: dict[int, list[bytes]] = {}
-    for r in built.toLocalIterator():  # at most NODES nodes of 16 bytes
-        parts.setdefault(r["depth"], []).append(bytes(r["blob"]))
-    release(spark, counts.scratch, built.scratch)
-    zeros, ones, longer = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256)
-    for blob in parts.get(0, []):
-        n = len(blob) // 32
-        at = np.frombuffer(blob, np.int64, n)
-        np.add.at(longer, at, np.frombuffer(blob, np.float64, n, 8 * n))
-        np.add.at(zeros, at, np.frombuffer(blob, np.int64, n, 16 * n))
-        np.add.at(ones, at, np.frombuffer(blob, np.int64, n, 24 * n))
-    root = np.flatnonzero(zeros + ones)
-    own = log_kt(zeros[root], ones[root])
-    beta = np.exp(own - np.logaddexp(own, longer[root]))
-    levels = [(root.astype(_U), (ones[root] + 0.5) / (zeros[root] + ones[root] + 1.0), beta)]
-    for depth in range(1, deepest + 1):
-        cols = []
-        for blob in parts.get(depth, []):
-            n = len(blob) // 16
-            cols.append((np.frombuffer(blob, _U, n), np.frombuffer(blob, np.float32, n, 8 * n), np.frombuffer(blob, np.float32, n, 12 * n)))
-        key, p, b = (np.concatenate(x) for x in zip(*cols, strict=True)) if cols else (np.zeros(0, _U), np.zeros(0, np.float32), np.zeros(0, np.float32))
-        order = np.argsort(key)
-        levels.append((key[order], p[order], b[order]))
-    return ContextTree(levels)
-
-
 # ---------------------------------------------------------------- word-unigram base
 
 
@@ -370,10 +411,15 @@ def _gather_sums(batches):
         yield batch(_row=u, logs=np.bincount(inv, sums), n_known=np.bincount(inv, known).astype(np.int64))
 
 
-def _ctw_scores(shared):
-    def run(batches):
-        tree = shared.value
-        for b in batches:
+def _ctw_scores(batches):
+    """From (block, bucket, body) sorted by both: the block's rows come first, then the logarithms of its grams by bucket."""
+    for _, rows in groupby(_rows(batches), itemgetter(0)):
+        held = list(pa.ipc.open_stream(next(rows)[2]))
+        keys, _, order, _ = block_grams(held)
+        tree = ContextTree([])
+        tree.known, tree.value = keys, np.empty(len(keys))
+        tree.value[order] = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r[2], np.float32) for r in rows)])
+        for b in held:
             data, offsets = byte_view(b.column(2))
             score = [tree.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans(offsets, 4 * CHUNK_BYTES)]
             bytes_ = np.diff(offsets)
@@ -382,7 +428,23 @@ def _ctw_scores(shared):
             bits = np.where(bytes_ > 0, -total / math.log10(2) / np.maximum(bytes_, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_tokens), pa.array(total), pa.array(bits), b.column(3)], names=["doc_id", "held_out", "n_tokens", "score", "bits_per_byte", "_row"])
 
-    return run
+
+def tree_scores(rows: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, score, bits_per_byte, _row) of each (doc_id, held_out, text, _row), by a tree of all that are not held out."""
+    spark = rows.sparkSession
+    width = min(partitions(spark), BUCKETS)
+    blocks = materialise(rows.mapInArrow(_blocks, "block long, bucket int, body binary, counts binary"), "op5-blocks")
+    learned = blocks.where("bucket >= 0 AND counts IS NOT NULL").select("bucket", "body", "counts")
+    merged = materialise(learned.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "bucket int, body binary, counts binary"), "op5-tree")
+    release(spark)
+    shared = spark.sparkContext.broadcast(_top(merged.where("bucket < 0").toLocalIterator()))
+    asked = merged.where("bucket >= 0").select("bucket", F.lit(-1).cast("long").alias("block"), "body", "counts").union(blocks.where("bucket >= 0").select("bucket", "block", "body", F.lit(None).cast("binary")))
+    values = asked.repartition(width, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer(shared), "block long, bucket int, body binary")
+    both = blocks.where("bucket < 0").select("block", "bucket", "body").union(values)
+    both = both.repartition(partitions(spark), "block").sortWithinPartitions("block", "bucket")
+    out = materialise(both.mapInArrow(_ctw_scores, "doc_id long, held_out boolean, n_tokens long, score double, bits_per_byte double, _row long"), "op5-scores")
+    release(spark, blocks.scratch, merged.scratch)
+    return out
 
 
 def _row_key() -> F.Column:
@@ -394,9 +456,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: the base's counts and score, and the context tree's score and bits per byte."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out_of(id_col, parts, held_part).alias("held_out"), F.col(text_col).alias("text"))
-    tree = train(rows.where(~F.col("held_out")).select("text"))
-    shared = spark.sparkContext.broadcast(tree)
-    scored = rows.withColumn("_row", _row_key()).select("doc_id", "held_out", "text", "_row").mapInArrow(_ctw_scores(shared), "doc_id long, held_out boolean, n_tokens long, score double, bits_per_byte double, _row long")
+    scored = tree_scores(rows.withColumn("_row", _row_key()).select("doc_id", "held_out", "text", "_row"))
 
     # Rows that share an id are copies: their sums are divided evenly.
     # A document has a partial sum from each range of words it meets, so there are fewer ranges than partitions.

@@ -362,3 +362,15 @@ def test_jaccard_join_of_near_copies_with_a_common_passage(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
     want = jaccard_brute(rows)
     assert got == want and len({c for _, c in want.values()}) == 26
+
+
+def test_ctw_keeps_its_depth_at_every_size(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(ctw, "NODES", 500, raising=False)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    flat = lambda ts: (np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)]))
+    keys, counts = ctw.tally(ctw.grams(*flat([(t or "").encode() for i, t, *_ in rows if not held(i)]))[0])
+    tree = ctw.ContextTree([level[:3] for level in ctw.weigh(keys, counts, 0, 4)])
+    got = {r["doc_id"]: r["score"] for r in ctw.lm_scores(docs).where("doc_id IS NOT NULL").collect()}
+    want = with_ids(rows)
+    for (i, t), score in zip(want, tree.score(*flat([(t or "").encode() for _, t in want])), strict=True):
+        assert got[i] == pytest.approx(score, rel=1e-5)
