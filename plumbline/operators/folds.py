@@ -5,8 +5,7 @@ They run in parallel over scenes; a scene is one page and fits a task.
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -80,28 +79,82 @@ def fold(df: DataFrame, rule, *, key: str = "scene_id", order: str = "ordinal")
     return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, df.schema)
 
 
-def regular_run(positions: list[int], most: int = 16) -> list[int]:
+def regular_run(positions: list[int]) -> list[int]:
     """The longest subset with even gaps: all within max(5, 45 %) of their upper median, which exceeds 4.
 
-    Ties go to the widest span, then to the first in order of combinations. The search is exponential, so beyond
-    ``most`` positions the dynamic programme over contiguous runs is used.
+    Ties go to the widest span, then to the first in order of combinations. For each gap that may be the upper
+    median a dynamic programme finds the longest path over admissible gaps that has it as its median: it keeps, for
+    each position, number of gaps and surplus of shorter over longer gaps, the most gaps equal to the median.
     """
-    pos = sorted(positions)
-    if len(pos) > most:
-        runs = [pos[i:j] for i in range(len(pos)) for j in range(i + 2, len(pos) + 1)]
-        good = [r for r in runs if _even(r)]
-        return max(good, key=lambda r: (len(r), r[-1] - r[0]), default=[])
-    for size in range(len(pos), 1, -1):
-        good = [c for c in combinations(pos, size) if _even(c)]
-        if good:
-            return list(max(good, key=lambda c: c[-1] - c[0]))
-    return []
-
-
-def _even(run) -> bool:
-    gaps = sorted(b - a for a, b in zip(run, run[1:], strict=False))
-    median = gaps[len(gaps) // 2]
-    return median > 4 and all(abs(g - median) <= max(5, 0.45 * median) for g in gaps)
+    pos = np.array(sorted(positions))
+    found, most = [], 1
+    for m, gaps in sorted(_medians(pos), key=lambda x: -x[1]):
+        if gaps < most:
+            break
+        ends = _closes(_paths(pos, m, gaps, len(pos)))
+        n = max(np.flatnonzero(ends.any(0)), default=0)
+        if n > most:
+            found, most = [], n
+        if n == most:
+            found.append((m, np.flatnonzero(ends[:, n])))
+    best: tuple = ()
+    for m, ends in found:
+        for end in ends[::-1]:
+            if best and pos[end] - pos[0] < best[0]:
+                break
+            back = _paths(-pos[end::-1], m, most, 1)[::-1]
+            starts = np.flatnonzero(_closes(back)[:, most])
+            if not best or pos[end] - pos[starts[0]] >= best[0]:
+                run = _first_run(pos, back, m, int(starts[0]), most)
+                best = min(best or (pos[end] - pos[starts[0]], run), (pos[end] - pos[starts[0]], run), key=lambda x: (-x[0], x[1]))
+    return [pos[i].item() for i in best[1]] if best else []
+
+
+def _medians(pos: np.ndarray) -> list[tuple]:
+    """The gaps that may be an upper median, each with the most gaps that fit with it between the first and last position."""
+    out = []
+    gaps = np.unique(pos[None, :] - pos[:, None])
+    for m in gaps[gaps > 4]:
+        low = gaps[(gaps >= 0) & (m - gaps <= max(5, 0.45 * m))].min()
+        n = 1
+        while n < len(pos) - 1 and (n + 1 - (n + 1) // 2) * m + (n + 1) // 2 * low <= pos[-1] - pos[0]:
+            n += 1
+        out.append((m, n))
+    return out
+
+
+def _paths(pos: np.ndarray, m, n: int, starts: int) -> np.ndarray:
+    """[position, gaps, n + surplus of shorter gaps]: the most gaps equal to ``m`` on a path that ends there and begins at one of the first ``starts`` positions, negative where there is none."""
+    most = np.full((len(pos), n + 1, 2 * n + 1), -30_000, np.int16)
+    most[:starts, 0, n] = 0
+    for k in range(1, len(pos)):
+        gap = pos[k] - pos[:k]
+        fits = np.abs(gap - m) <= max(5, 0.45 * m)
+        for which, into, out, equal in ((gap < m, slice(1, None), slice(None, -1), 0), (gap == m, slice(None), slice(None), 1), (gap > m, slice(None, -1), slice(1, None), 0)):
+            before = np.flatnonzero(fits & which)
+            if len(before):
+                np.maximum(most[k, 1:, into], most[before, :-1, out].max(0) + np.int16(equal), out=most[k, 1:, into])
+    return most
+
+
+def _closes(most: np.ndarray, equal: int = 0, surplus: int = 0) -> np.ndarray:
+    """Where a path, after one with these counts, has ``m`` as its upper median: shorter gaps at most half, longer ones less than half."""
+    d = np.arange(most.shape[-1]) - most.shape[-1] // 2 + surplus
+    return ((most >= 0) & (most + equal >= np.maximum(d, 1 - d))).any(-1)
+
+
+def _first_run(pos: np.ndarray, back: np.ndarray, m, at: int, n: int) -> list[int]:
+    """Of the paths of ``n`` gaps from ``at`` the first in order of combinations."""
+    run, equal, surplus = [at], 0, 0
+    for left in range(n - 1, -1, -1):
+        for k in range(at + 1, len(back)):
+            gap = pos[k] - pos[at]
+            e, d = equal + int(gap == m), surplus + int(gap < m) - int(gap > m)
+            if abs(gap - m) <= max(5, 0.45 * m) and _closes(back[k, left], e, d):
+                at, equal, surplus = k, e, d
+                run.append(k)
+                break
+    return run
 
 
 def regular_runs(df: DataFrame, *, key: str = "scene_id", value: str = "pos") -> DataFrame:

@@ -282,8 +282,7 @@ def dedupe_visual_greedy(s, d):
 
 def regular_run(s, d):
     lines = c.table(s, d, "orders").select((F.col("o_custkey") % 997).alias("scene_id"), (F.col("o_orderkey") % 600).cast("long").alias("pos")).distinct()
-    few = windows.first_n(lines, 9, order="pos")
-    return folds.regular_runs(few).select("scene_id", "pos")
+    return folds.regular_runs(lines).select("scene_id", "pos")
 
 
 def nodes_by_type(s, d):

@@ -148,3 +148,23 @@ def test_writer_passes_its_own_checks(spark):
 def test_empty_tables(spark):
     empty = nodes(spark, [])
     assert joins.align(empty, empty).count() == 0 and aggregates.union_area(empty).count() == 0 and folds.fold(empty, folds.keep_texts).count() == 0
+
+
+def test_regular_run_takes_all_lines(spark, tmp_path):
+    from itertools import combinations
+
+    from plumbline.plans.queries import QUERIES
+
+    def even(run):
+        gaps = sorted(b - a for a, b in zip(run, run[1:], strict=False))
+        m = gaps[len(gaps) // 2]
+        return m > 4 and all(abs(g - m) <= max(5, 0.45 * m) for g in gaps)
+
+    rng = random.Random(3)
+    for _ in range(150):
+        pos = sorted(rng.randrange(rng.choice([12, 40, 100, 600])) for _ in range(rng.randrange(12)))
+        runs = next((r for n in range(len(pos), 1, -1) if (r := [c for c in combinations(pos, n) if even(c)])), [])
+        assert folds.regular_run(pos) == list(max(runs, key=lambda c: c[-1] - c[0], default=[])), pos
+    lines = list(range(5, 500, 20))
+    spark.createDataFrame([(7, x) for x in [*lines, 131]], "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r["pos"] for r in QUERIES["regular_run"](spark, str(tmp_path)).collect()) == lines
