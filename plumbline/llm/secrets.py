@@ -4,7 +4,8 @@ The patterns find what their form gives away. For other long runs of key charact
 models, of random strings and of ordinary identifiers, are compared by log-likelihood ratio per character; a
 run that looks random and holds no pattern's finding is reported as kind ``markov``. Both models are trained
 from labelled samples: secrets labelled by the patterns and seeded random strings on one side, long words of
-the texts on the other, taken from a bounded number of documents (``sample_docs``).
+the texts on the other, taken from a bounded number of documents (``sample_docs``), all of their strings:
+what comes together is a count for each pair of characters.
 
 Every whole text is scanned. Defined results: null text counts as empty and has no findings; rows may repeat
 and ids may be null; an empty table gives an empty result; extra columns are ignored.
@@ -51,20 +52,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class MarkovRatio:
     """Log-likelihood ratio per character of a random string against an ordinary identifier."""
 
-    def __init__(self, secrets: list[str], ordinary: list[str], threshold: float = 0.35):
-        self.ratio = self._model(secrets) - self._model(ordinary)
+    def __init__(self, secrets: list[str], ordinary: list[str], threshold: float = 0.35, counted=(0, 0)):
+        """``counted``: numbers of character pairs of further secrets and ordinary strings."""
+        self.ratio = self._model(self.pairs(secrets) + counted[0]) - self._model(self.pairs(ordinary) + counted[1])
         self.threshold = threshold
 
     @staticmethod
     def _ids(s: str) -> np.ndarray:
         return _INDEX[np.frombuffer(s.encode("ascii", "replace"), np.uint8) & 127]
 
-    def _model(self, strings: list[str]) -> np.ndarray:
-        """log P(character | character before), interpolated with the character's own frequency."""
-        pairs = np.zeros((_SIZE, _SIZE))
+    @classmethod
+    def pairs(cls, strings: list[str]) -> np.ndarray:
+        out = np.zeros((_SIZE, _SIZE), np.int64)
         for s in strings:
-            ids = self._ids(s)
-            np.add.at(pairs, (np.append(0, ids[:-1]), ids), 1)
+            ids = cls._ids(s)
+            np.add.at(out, (np.append(0, ids[:-1]), ids), 1)
+        return out
+
+    @staticmethod
+    def _model(pairs: np.ndarray) -> np.ndarray:
+        """log P(character | character before), interpolated with the character's own frequency."""
         alone = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * _SIZE)
         return np.log((pairs + 2 * alone) / (pairs.sum(1, keepdims=True) + 2))
 
@@ -93,19 +100,37 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     """Train on the texts of the ``sample_docs`` rows with the smallest hash of their id."""
     ids = docs.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.distinct()), "_id").select("_text")
-    found = texts.mapInArrow(_samples, "secret boolean, value string").distinct().orderBy("secret", F.xxhash64("value")).collect()
-    return MarkovRatio([r["value"] for r in found if r["secret"]] + random_secrets(2000), [r["value"] for r in found if not r["secret"]] + ["identifier_name", "getElementById", "max-retries"])
+    found = texts.mapInArrow(_samples, "secret boolean, value string").distinct()
+    counts = found.mapInArrow(_pair_counts, "secret boolean, cell int, n long").groupBy("secret", "cell").agg(F.sum("n").alias("n")).collect()
+    learned = np.zeros((2, _SIZE * _SIZE), np.int64)
+    for r in counts:
+        learned[int(r["secret"]), r["cell"]] = r["n"]
+    ordinary, secret = learned.reshape(2, _SIZE, _SIZE)
+    return MarkovRatio(random_secrets(2000), ["identifier_name", "getElementById", "max-retries"], counted=(secret, ordinary))
 
 
 def _samples(batches):
     for b in batches:
-        out = set()
         for t in b.column(0).to_pylist():
             spans = base_spans(t or "")
-            out.update((True, _ASSIGN.sub(lambda m: m[2], t[s:e]) if k == 0 else t[s:e]) for s, k, e in spans)
-            out.update((False, m.group()) for m in _WORD.finditer(t or "") if not any(s < m.end() and m.start() < e for s, _, e in spans))
-        rows = sorted(out)[:20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string())], names=["secret", "value"])
+            rows = {(True, _ASSIGN.sub(lambda m: m[2], t[s:e]) if k == 0 else t[s:e]) for s, k, e in spans}
+            rows.update((False, m.group()) for m in _WORD.finditer(t or "") if not any(s < m.end() and m.start() < e for s, _, e in spans))
+            rows = sorted(rows)
+            for i in range(0, len(rows), 20_000):
+                part = rows[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.bool_()), pa.array([r[1] for r in part], pa.string())], names=["secret", "value"])
+
+
+def _pair_counts(batches):
+    """(secret, cell, n): how often each pair of characters is in a task's strings of each label; at most 2 * _SIZE ** 2 rows."""
+    pairs = {label: np.zeros((_SIZE, _SIZE), np.int64) for label in (False, True)}
+    for b in batches:
+        for label, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids = MarkovRatio._ids(value)
+            np.add.at(pairs[label], (np.append(0, ids[:-1]), ids), 1)
+    for label, n in pairs.items():
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([label] * len(cell), pa.bool_()), pa.array(cell.astype(np.int32)), pa.array(n.ravel()[cell])], names=["secret", "cell", "n"])
 
 
 def _shown(spans: list[tuple[int, int, int]]) -> str:

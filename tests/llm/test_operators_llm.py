@@ -374,3 +374,12 @@ def test_ctw_keeps_its_depth_at_every_size(spark, docs, rows, monkeypatch):
     want = with_ids(rows)
     for (i, t), score in zip(want, tree.score(*flat([(t or "").encode() for _, t in want])), strict=True):
         assert got[i] == pytest.approx(score, rel=1e-5)
+
+
+def test_secrets_learn_from_all_sampled_strings(spark):
+    """More distinct words than fit one sample batch, and the secrets that sort after them."""
+    keys = [f"AKIA{k:08d}QZQZQZQZ" for k in range(50)]
+    words = [f"word{k:07d}" for k in range(25_000)]
+    df = spark.createDataFrame([(1, " ".join(words + keys))], "doc_id long, text string").coalesce(1)
+    want = secrets.MarkovRatio(keys + secrets.random_secrets(2000), [*words, "identifier_name", "getElementById", "max-retries"])
+    assert np.allclose(secrets.fit(df).ratio, want.ratio)
