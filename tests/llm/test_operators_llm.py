@@ -383,3 +383,18 @@ def test_secrets_learn_from_all_sampled_strings(spark):
     df = spark.createDataFrame([(1, " ".join(words + keys))], "doc_id long, text string").coalesce(1)
     want = secrets.MarkovRatio(keys + secrets.random_secrets(2000), [*words, "identifier_name", "getElementById", "max-retries"])
     assert np.allclose(secrets.fit(df).ratio, want.ratio)
+
+
+def test_exact_dedup_decides_each_row_by_its_own_text(spark, tmp_path):
+    """Null ids and repeated ids whose texts differ."""
+    rows = [(1, "same"), (None, "same"), (None, "alone"), (None, "other"), (None, "other"), (2, "x y"), (3, "x  y"), (3, "only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.exact_dedup(df).collect())
+    assert stay == sorted((str(i), t) for i, t in [(1, "same"), (None, "alone"), (None, "other"), (None, "other"), (2, "x y"), (3, "only here")])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.op1_exact_dedup(spark, str(tmp_path)).collect())
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append(i)
+    keep = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert got == Counter((i, keep[norm(t)], len(groups[norm(t)]), i == keep[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
