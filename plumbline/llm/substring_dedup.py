@@ -183,11 +183,15 @@ def _by_document(batches):
 class FingerprintIndex:
     """Sorted runs of window hashes in a bucketed table, and the merge-join of new batches with them."""
 
+    #: With so many runs in a range they are merged before the next batch.
+    RUNS = 2
+
     def __init__(self, spark, buckets: int | None = None):
         self.spark = spark
         self.buckets = buckets or partitions(spark)
         self.table = f"plumbline_runs_{uuid4().hex[:12]}"
         self.path = scratch_path(spark, "op8-runs")
+        self.runs = 0
         empty = spark.createDataFrame([], "bucket int, blob binary")
         self._write(empty, "overwrite")
 
@@ -202,6 +206,7 @@ class FingerprintIndex:
         merged = materialise(merged, "op8-merged")
         if keep:
             self._write(merged.where("kind = 0").select("bucket", "blob"), "append")
+            self.runs += 1
         hits = materialise(merged.where("kind = 1").select(F.col("bucket").alias("group"), "blob"), "op8-hits")
         release(self.spark, merged.scratch)
         return hits
@@ -221,6 +226,7 @@ class FingerprintIndex:
         self._write(merged, "overwrite")
         self.spark.sql(f"DROP TABLE {old_table}")
         release(self.spark, old_path)
+        self.runs = 1
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -239,6 +245,8 @@ def repeated_windows(docs: DataFrame, batches: int = 4) -> DataFrame:
         part = docs
         part = part if lo is None else part.where(F.col("doc_id") > lo)
         part = part if hi is None else part.where(F.col("doc_id") <= hi)
+        if index.runs >= index.RUNS:
+            index.compact()
         found = index.take_in(part, keep=n < len(edges) - 2)
         hits = found if hits is None else hits.union(found)
     index.close()

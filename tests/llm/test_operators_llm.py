@@ -398,3 +398,17 @@ def test_exact_dedup_decides_each_row_by_its_own_text(spark, tmp_path):
         groups.setdefault(norm(t), []).append(i)
     keep = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
     assert got == Counter((i, keep[norm(t)], len(groups[norm(t)]), i == keep[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+
+
+def test_substring_dedup_compacts_its_index(spark, docs, monkeypatch):
+    compact, seen = substring_dedup.FingerprintIndex.compact, []
+
+    def counted(index):
+        most = lambda: spark.table(index.table).groupBy("bucket").count().agg(F.max("count")).first()[0]
+        before = most()
+        compact(index)
+        seen.append((before, most()))
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", counted)
+    substring_dedup.remove_repeats(docs)
+    assert seen and all(before == 2 and after == 1 for before, after in seen)
