@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 WS_CLASS = r"[\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the vectorised code; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
-_BLOCK = 1 << 20
 _U = np.uint64
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_WORD_BASE, _SEQ_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
+_ODD, _SEQ_BASE = _U(0x9E3779B97F4A7C15), 0xD1342543DE82EF95 | 1
+#: Masks of the first 0 to 8 bytes, and the length beyond which a word is digested by itself.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+LONG_WORD = 4096
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -172,20 +175,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each word, by prefix sums over blocks of bytes."""
-    out, i = np.empty(len(starts), _U), 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + _BLOCK, "right")))
-        hi = ends[j - 1]
-        pw, inv = powers(_WORD_BASE, int(hi - lo))
-        c = np.zeros(hi - lo + 1, _U)
-        np.cumsum((data[lo:hi].astype(_U) + _U(1)) * pw[: hi - lo], out=c[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (c[e] - c[s]) * inv[s]
-        i = j
-    return mix(out)
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash for each word: eight bytes at a time are mixed into it, so words of one length up to eight never collide.
+
+    Each ``seed`` gives an independent hash. Words beyond ``LONG_WORD`` bytes are digested one by one.
+    """
+    left = ends - starts
+    out = mix(left.astype(_U) + _U(seed))
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
+    long = np.flatnonzero(left > LONG_WORD)
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    who = np.flatnonzero(left <= LONG_WORD) if len(long) else np.arange(len(left))
+    at, left = starts[who], left[who]
+    while len(at):
+        lane = lanes[at] & _LANE[np.minimum(left, 8)]
+        out[who] = mix((lane ^ out[who]) * _ODD)
+        more = np.flatnonzero(left > 8)
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def hash_windows(words: np.ndarray, k: int, base: int = _SEQ_BASE) -> np.ndarray:

@@ -412,3 +412,68 @@ def test_substring_dedup_compacts_its_index(spark, docs, monkeypatch):
     monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", counted)
     substring_dedup.remove_repeats(docs)
     assert seen and all(before == 2 and after == 1 for before, after in seen)
+
+
+def test_sketches_bound_the_distance():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in rng.integers(1, 700, 60)]
+    sets += [np.unique(np.concatenate((s[rng.random(len(s)) > 0.1], rng.integers(0, 1 << 62, len(s) // 9).astype(np.uint64)))) for s in sets]
+    sets = [s for s in sets if len(s)]
+    marks = jaccard_join.Sketches(common.pa.array([jaccard_join.sketch(s) for s in sets], common.pa.binary()))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    n = np.array([len(s) for s in sets])
+    ok = (4 * n[i] >= 3 * n[j]) & (3 * n[i] <= 4 * n[j])
+    i, j = i[ok], j[ok]
+    distance, links = marks.distance(marks, i, j), 0
+    for a, b, d in zip(i.tolist(), j.tolist(), distance.tolist(), strict=True):
+        same = len(np.intersect1d(sets[a], sets[b]))
+        assert d <= n[a] + n[b] - 2 * same
+        if 4 * same >= 3 * (n[a] + n[b] - same):
+            links += a != b
+            assert jaccard_join.may_link(np.array([d]), n[a] + n[b])[0]
+    assert links > 40
+
+
+def test_jaccard_join_in_many_chunks_and_rounds(spark, monkeypatch):
+    """Chains of near copies in chunks of five sets with all shingles of a passage in common."""
+    rng = random.Random(77)
+    passage, rows = sentence(rng, 60, 10**6).split(), []
+    for _ in range(6):
+        w = passage + sentence(rng, 60, 10**6).split()
+        for _ in range(12):
+            w = list(w)
+            for _ in range(3):
+                w[rng.randrange(60, len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1.0)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
+    want = jaccard_brute(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 72
+
+
+def test_jaccard_join_of_very_long_texts_at_the_threshold(spark):
+    """Sets of 300,000 shingles of which 257,143 are common link; one fewer, and they do not."""
+    fresh = iter(range(10**9))
+    rows = []
+    for k, same in ((0, 257_143), (10, 257_142)):
+        n = 300_000
+        shared = [f"c{next(fresh)}" for _ in range(same + 4)]
+        rows += [(k + i, " ".join([*shared, *(f"t{next(fresh)}" for _ in range(n - same))])) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
+    assert got == {0: (300_000, 0), 1: (300_000, 0), 10: (300_000, 10), 11: (300_000, 11)}
+
+
+def test_long_built_words_have_their_own_hashes():
+    """A Thue-Morse word and its complement collide in every polynomial hash modulo a power of two."""
+    tm = "a"
+    while len(tm) < 8192:
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    words = [x[:n] for n in (2048, 4096, 8192) for x in (tm, tm.translate(str.maketrans("ab", "ba")))]
+    data, offsets = common.byte_view(common.pa.array([" ".join(words), "ab", "abc", "abcdefgh", "abcdefghi"]))
+    starts, ends, _ = common.word_spans(data, offsets)
+    one, two = common.hash_words(data, starts, ends), common.hash_words(data, starts, ends, 1)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(starts) == 10 and not set(one.tolist()) & set(two.tolist())
