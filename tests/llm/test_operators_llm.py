@@ -271,6 +271,10 @@ def test_decontaminate(spark, docs, rows, empty):
     text = dict(items)
     w = text[2].split()
     leaks = [(5000, sentence(rng, 30) + " " + text[0].upper() + " tail"), (5001, text[1]), (5002, " ".join(["lead", *w[:16], "changed", *w[17:]])), (5003, "a " + text[3] + " b"), (5004, " ".join(w[:20])), (5005, text[5].replace(" ", "\n")), (5006, text[4])]
+    near, below = (list(text[5].split()) for _ in range(2))
+    near[20] = "changed"
+    below[10] = below[30] = "changed"
+    leaks += [(5007, " ".join(["lead", *near, "tail"])), (5008, " ".join(["lead", *below, "tail"]))]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(leaks, "doc_id long, text string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     shingles = lambda s, k: [tuple(s[i : i + k]) for i in range(len(s) - k + 1)]
@@ -289,6 +293,7 @@ def test_decontaminate(spark, docs, rows, empty):
                 want[i, item] = round(best, 9)
     got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.contamination(df, bench).collect()}
     assert got == want and len(want) >= 6
+    assert 0.75 <= want[5007, 5] < 0.9 and (5008, 5) not in want
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(df, bench.limit(0)).count() == 0
 
 
@@ -477,3 +482,31 @@ def test_long_built_words_have_their_own_hashes():
     starts, ends, _ = common.word_spans(data, offsets)
     one, two = common.hash_words(data, starts, ends), common.hash_words(data, starts, ends, 1)
     assert len(set(one.tolist())) == len(set(two.tolist())) == len(starts) == 10 and not set(one.tolist()) & set(two.tolist())
+
+
+@pytest.mark.parametrize("most", [12, 1000, 1 << 21])
+def test_rolling_fingerprints_equal_plain_ones(spark, most):
+    """Whatever the width of the packed counts, a window's fingerprint is the majority of its shingles' bits."""
+    rng = random.Random(12)
+    runs = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(30)]
+    runs[7:9] = [runs[3]] * 2
+    df = spark.createDataFrame([(runs, n) for n in range(1, 13)], "runs array<bigint>, size int")
+    for r in decontaminate.with_fingerprints(df, "runs", "size", most, "p").collect():
+        n = r["size"]
+        want = [sum(1 << b for b in range(decontaminate.BITS) if 2 * sum(h >> b & 1 for h in runs[i : i + n]) > n) for i in range(len(runs) - n + 1)]
+        assert r["p"] == want
+
+
+def test_multi_index_finds_all_within_the_radius(spark):
+    rng = random.Random(13)
+    own, rows = rng.getrandbits(63), []
+    for d in range(decontaminate.RADIUS + 1):
+        for _ in range(20):
+            x = own
+            for b in rng.sample(range(63), d):
+                x ^= 1 << b
+            rows.append((x,))
+    index = decontaminate._index(spark.createDataFrame([(1, 1, own)], "item_id long, size int, print_y long"))
+    values = {(r["block"], r["value"]) for r in index.collect()}
+    for (x,) in rows:
+        assert any((k, x >> a & (1 << n) - 1) in values for k, (a, n) in enumerate(decontaminate.block_bits()))
