@@ -210,6 +210,20 @@ def hash_windows(words: np.ndarray, k: int, base: int = _SEQ_BASE) -> np.ndarray
 # ---------------------------------------------------------------- packing
 
 
+def blobs_by_key(batches):
+    """(key, blobs) of one key after the other, from rows (key, blob) that come sorted by key."""
+    key, blobs = None, []
+    for b in batches:
+        for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if k != key and blobs:
+                yield key, blobs
+                blobs = []
+            key = k
+            blobs.append(blob.as_buffer())
+    if blobs:
+        yield key, blobs
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys as byte planes of their differences, so that the high planes compress to nothing."""
     return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()

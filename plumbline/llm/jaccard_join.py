@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bucket_edges, byte_view, hash_windows, hash_words, lower_ascii, materialise, mix, partitions, read_documents, release, small_batches, spans, word_spans
+from .common import batch, blobs_by_key, bucket_edges, byte_view, hash_windows, hash_words, lower_ascii, materialise, mix, partitions, read_documents, release, small_batches, spans, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -247,23 +247,9 @@ def _postings(frequent: np.ndarray, buckets: int):
     return run
 
 
-def _by_range(batches):
-    """The blobs of one range after the other; rows come sorted by range."""
-    bucket, blobs = None, []
-    for b in batches:
-        for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if k != bucket and blobs:
-                yield blobs
-                blobs = []
-            bucket = k
-            blobs.append(blob.as_buffer())
-    if blobs:
-        yield blobs
-
-
 def _groups(batches):
     """The distinct groups of two or more sets that share a signature, in chunks of sets sorted by size."""
-    for blobs in _by_range(batches):
+    for _, blobs in blobs_by_key(batches):
         parts = [(np.frombuffer(x, _U, n := len(x) // 20), np.frombuffer(x, np.int64, n, 8 * n), np.frombuffer(x, np.uint32, n, 16 * n)) for x in blobs]
         sig, key, size = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((key, size, sig))

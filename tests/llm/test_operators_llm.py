@@ -510,3 +510,31 @@ def test_multi_index_finds_all_within_the_radius(spark):
     values = {(r["block"], r["value"]) for r in index.collect()}
     for (x,) in rows:
         assert any((k, x >> a & (1 << n) - 1) in values for k, (a, n) in enumerate(decontaminate.block_bits()))
+
+
+def test_named_index_can_be_opened_again(spark, docs, rows):
+    """A batch is shortened against windows that an earlier session took in, also after a compaction."""
+    words = {i: WORD.findall(t or "") for i, t in with_ids(rows)}
+    old = {tuple(w[k : k + 13]) for i, w in words.items() if i < 80 for k in range(len(w) - 12)}
+    index = substring_dedup.FingerprintIndex(spark, 8, name="T8_kept")
+    substring_dedup.remove_repeats(docs.where("doc_id < 80"), index=index).count()
+    index.close()
+    again = substring_dedup.FingerprintIndex(spark, name="t8_kept")
+    again.compact()
+    again = substring_dedup.FingerprintIndex(spark, name="t8_kept")
+    assert again.buckets == 8 and again.version >= 1
+    late = docs.where("doc_id >= 80").select("doc_id", "text")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(late, index=again).collect()}
+    again.drop()
+    first = {}
+    for i in sorted(i for i in words if i >= 80):
+        for k in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][k : k + 13]), i)
+    assert sum(got.values()) > 300
+    for i in got:
+        gone = set()
+        for k in range(len(words[i]) - 12):
+            w = tuple(words[i][k : k + 13])
+            if w in old or first[w] < i:
+                gone.update(range(k, k + 13))
+        assert got[i] == len(gone)
