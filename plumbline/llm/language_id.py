@@ -223,7 +223,9 @@ def predict(docs: DataFrame, models: LanguageModels, *, id_col: str = "doc_id",
 
 
 def keep_identified(docs: DataFrame, models: LanguageModels, *, text_col: str = "text") -> DataFrame:
-    """The input rows, with all their columns, whose text is not rejected."""
+    """The input rows, with all their columns, whose text is not rejected; without any language learned, all rows."""
+    if not models.langs:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index(text_col)
 

@@ -538,3 +538,59 @@ def test_named_index_can_be_opened_again(spark, docs, rows):
             if w in old or first[w] < i:
                 gone.update(range(k, k + 13))
         assert got[i] == len(gone)
+
+
+def test_shards_of_different_columns_and_contents(spark, docs, rows):
+    store = sharding.ShardStore(spark, common.scratch_path(spark, "t4c"), target_bytes=1 << 22)
+    plain = docs.select("doc_id", "text")
+    empty_version = store.append(plain.limit(0))
+    assert empty_version == {"version": 1, "shards": [], "schema": empty_version["schema"]} and store.read().count() == 0
+    for k in range(3):
+        store.append(plain)
+        store.append(plain.withColumn("extra", F.lit(k)).withColumn("shard_of", F.lit("x")))
+    store.compact()
+    store.vacuum()
+    got = Counter((r["doc_id"], r["text"], r["extra"]) for r in store.read().collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        want[i, t, None] += 3
+        want.update([(i, t, k) for k in range(3)])
+    assert got == want
+    with pytest.raises(ValueError):
+        store.append(plain.withColumn("extra", F.lit("text")))
+    assert store.read().count() == 6 * len(rows)
+
+
+def test_vacuum_leaves_the_files_of_a_writer_at_work(spark, docs, rows, monkeypatch):
+    store = sharding.ShardStore(spark, common.scratch_path(spark, "t4v"))
+    store.append(docs.select("doc_id", "text"))
+    commit = store._commit
+
+    def vacuum_first(read, shards, schema=None):
+        sharding.ShardStore(spark, store.path).vacuum()
+        return commit(read, shards, schema)
+
+    monkeypatch.setattr(store, "_commit", vacuum_first)
+    store.append(docs.select("doc_id", "text"))
+    assert store.read().count() == 2 * len(rows) and store.vacuum() == 0
+
+
+def test_op4_sharding_returns_every_row(spark, tmp_path, rows, empty):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op4_sharding(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text_sha256"]) for r in got) == Counter((i, hashlib.sha256(norm(t).encode()).hexdigest()) for i, t, *_ in rows)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert sharding.op4_sharding(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_language_id_rejects_what_it_never_learned(spark):
+    rng = random.Random(3)
+    words = {"en": ["the", "and", "with", "thing", "shore", "night"], "fr": ["le", "une", "être", "pour", "vous", "quai"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=40)), lang, "s", None) for i, lang in enumerate(["en", "fr"] * 60)]
+    foreign = [(500, "ξένο κείμενο που δεν έχει μάθει κανείς ποτέ εδώ πέρα", None, "s", None), (501, "zqxj wkvz qqjx xzkw vvqz jxkq wzzx kqjv " * 4, None, "s", None), (502, None, "en", "s", None)]
+    df = spark.createDataFrame(rows + foreign, SCHEMA)
+    models = language_id.fit(df)
+    kept = {r["doc_id"] for r in language_id.keep_identified(df, models).collect()}
+    assert kept == {r[0] for r in rows}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(unlabelled, language_id.fit(unlabelled)).count() == len(rows) + 3
