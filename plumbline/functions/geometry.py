@@ -41,6 +41,9 @@ def relation_error(kind, s, t) -> Column:
     low = lambda b: b[1] + b[3]
     zero = F.lit(0.0)
     outside = F.greatest(zero, t[0] - s[0], t[1] - s[1], right(s) - right(t), low(s) - low(t))
+    # Which of the two comes first does not matter.
+    beside = F.least(F.abs(right(s) - t[0]), F.abs(right(t) - s[0]))
+    stacked = F.least(F.abs(low(s) - t[1]), F.abs(low(t) - s[1]))
     formulas = {
         "align_left": F.abs(s[0] - t[0]),
         "align_right": F.abs(right(s) - right(t)),
@@ -50,10 +53,10 @@ def relation_error(kind, s, t) -> Column:
         "align_center_y": F.abs(s[1] + s[3] / 2 - t[1] - t[3] / 2),
         "equal_width": F.abs(s[2] - t[2]),
         "equal_height": F.abs(s[3] - t[3]),
-        "adjacent_x": F.abs(right(s) - t[0]),
-        "adjacent_y": F.abs(low(s) - t[1]),
-        "gap_x": F.abs(right(s) - t[0]),
-        "gap_y": F.abs(low(s) - t[1]),
+        "adjacent_x": beside,
+        "adjacent_y": stacked,
+        "gap_x": beside,
+        "gap_y": stacked,
         "inside": outside,
     }
     out = F.lit(1.0)
@@ -66,12 +69,12 @@ RELATIONS = ("align_left", "align_right", "align_top", "align_bottom", "align_ce
 
 
 def crop_pixels(a, width, height) -> Column:
-    """Integer pixel box, banker's rounding, clamped to the raster and at least one pixel."""
+    """Integer pixel box, banker's rounding, clamped to the raster; it may be empty."""
     left = F.greatest(F.lit(0), F.bround(a[0] * width).cast("int"))
     top = F.greatest(F.lit(0), F.bround(a[1] * height).cast("int"))
     right = F.least(width.cast("int"), F.bround((a[0] + a[2]) * width).cast("int"))
     bottom = F.least(height.cast("int"), F.bround((a[1] + a[3]) * height).cast("int"))
-    return F.struct(left.alias("left"), top.alias("top"), F.greatest(left + 1, right).alias("right"), F.greatest(top + 1, bottom).alias("bottom"))
+    return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
 
 
 def padded(a, width, height, share_x: float = 0.06, share_y: float = 0.12, least: int = 2):
@@ -113,5 +116,16 @@ def hamming(a, b) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def color_delta(a, b) -> Column:
+    """(l1, widest): the sum and the largest of the channels' absolute differences of two (r, g, b)."""
+    parts = [F.abs(a[c] - b[c]) for c in "rgb"]
+    return F.struct((parts[0] + parts[1] + parts[2]).alias("l1"), F.greatest(*parts).alias("widest"))
+
+
+def aspect_error(width, height, reference_width, reference_height) -> Column:
+    """How far a page's aspect is from its reference's, as a share."""
+    return F.abs((width / height) / (reference_width / reference_height) - 1)
+
+
 def contrast(hi, lo) -> Column:
     return (hi + 0.05) / (lo + 0.05)

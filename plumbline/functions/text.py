@@ -43,32 +43,37 @@ def align(text, in_cell=None) -> Column:
     return base if in_cell is None else F.when(in_cell, "center").otherwise(base)
 
 
-#: Width of a character by class; a character belongs to the first class that has it.
+# Width of a character in em by class; a character belongs to the first class that has it.
 WIDTHS = (
     (r"\p{M}", 0.0),
-    (r"(?U)\s", 0.32),
-    (f"[{ARABIC}]", 0.42),
-    (r"[぀-ヿ㐀-鿿가-힯]", 1.0),
-    (r"\p{Nd}", 0.56),
-    (r"\p{Lu}", 0.67),
-    (r"\p{Ll}", 0.52),
+    (r"\s", 0.32),
+    (ARABIC, 0.42),
+    (r"\u2e80-\u9fff\uac00-\ud7af", 1.0),
+    (r"\p{Nd}\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089", 0.56),
+    (r"\p{IsUppercase}", 0.67),
+    (r"\p{IsLowercase}", 0.52),
     (r"\p{P}", 0.34),
 )
+OTHER_WIDTH = 0.7
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def width_units(text) -> Column:
-    """Sum of character widths in em, class by class in order of precedence."""
-    left, total = F.coalesce(text, F.lit("")), F.lit(0.0)
-    for pattern, width in WIDTHS:
-        rest = F.regexp_replace(left, pattern, "")
-        total = total + (F.length(left) - F.length(rest)) * F.lit(width)
-        left = rest
-    return total + F.length(left) * F.lit(0.7)
+    """Sum of character widths in em: each class, less the classes before it, is counted in the text on its own."""
+    text = F.coalesce(text, F.lit(""))
+    total, earlier = F.length(text) * F.lit(OTHER_WIDTH), ""
+    for chars, width in WIDTHS:
+        own = f"[{chars}]" if not earlier else f"[[{chars}]&&[^{earlier}]]"
+        rest = F.regexp_replace(text, f"(?U){own}+", "")
+        total = total + (F.length(text) - F.length(rest)) * F.lit(width - OTHER_WIDTH)
+        earlier += chars
+    return total
 
 
 def max_line_units(text) -> Column:
     """The widest line, at least half an em."""
-    lines = F.split(F.coalesce(text, F.lit("")), r"\R")
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_END)
     return F.greatest(F.lit(0.5), F.coalesce(F.array_max(F.transform(lines, width_units)), F.lit(0.5)))
 
 
@@ -90,13 +95,13 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def redact(text, most: int = 240) -> Column:
     """URLs and long tokens replaced, blanks collapsed, cut to ``most`` characters."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://[^\s]+", "[url]")
-    out = F.regexp_replace(out, r"[A-Za-z0-9_-]{32,}", "[token]")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)https?://\S+", "[url]")
+    out = F.regexp_replace(out, r"[A-Za-z0-9_-]{32,}", "[redacted]")
     return F.left(F.trim(F.regexp_replace(out, r"\s+", " ")), F.lit(most))
 
 
 def redact_secret(text, most: int = 500) -> Column:
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)(access_token|refresh_token|id_token|client_secret|code)=[^&\s]+", "$1=[REDACTED]")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b(access_token|refresh_token|code|client_secret)=[^\s&]+", "$1=[REDACTED]")
     return F.left(out, F.lit(most))
 
 
@@ -104,7 +109,7 @@ def filename(text, default: str = "document", suffix: str = ".docx") -> Column:
     """Runs of disallowed characters as one dash, no dash at the ends, the default for nothing, and the suffix."""
     base = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9._-]+", "-"), r"^-+|-+$", "")
     base = F.when(base == "", default).otherwise(base)
-    return F.when(F.endswith(F.lower(base), F.lit(suffix)), base).otherwise(F.concat(base, F.lit(suffix)))
+    return F.when(F.endswith(base, F.lit(suffix)), base).otherwise(F.concat(base, F.lit(suffix)))
 
 
 def xml_escape(text) -> Column:
@@ -114,6 +119,11 @@ def xml_escape(text) -> Column:
     return out
 
 
+def sha256(content) -> Column:
+    """Lower-case hexadecimal digest of bytes or of a text in UTF-8."""
+    return F.sha2(content, 256)
+
+
 def hex_to_rgb(color) -> Column:
     part = lambda i: F.conv(F.substring(color, i, 2), 16, 10).cast("int")
     return F.when(color.rlike("^#[0-9a-fA-F]{6}$"), F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b")))

@@ -35,8 +35,8 @@ def tiling(boxes: DataFrame, *, key: str = "scene_id") -> DataFrame:
     """(key, tiled): whether at least four boxes cover much of the page, and their envelope, with little overlap."""
     s = boxes.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
-        ((F.least(F.lit(1.0), F.max(F.col("x") + F.col("w"))) - F.greatest(F.lit(0.0), F.min("x"))) * (F.least(F.lit(1.0), F.max(F.col("y") + F.col("h"))) - F.greatest(F.lit(0.0), F.min("y")))).alias("envelope"),
-        F.sum(F.col("w") * F.col("h")).alias("total"),
+        (F.greatest(F.lit(0.0), F.max(F.col("x") + F.col("w")) - F.min("x")) * F.greatest(F.lit(0.0), F.max(F.col("y") + F.col("h")) - F.min("y"))).alias("envelope"),
+        F.sum(F.greatest(F.lit(0.0), "w") * F.greatest(F.lit(0.0), "h")).alias("total"),
     )
     out = s.join(union_area(boxes, key=key), key)
     good = "n >= 4 AND area >= 0.5D AND envelope >= 0.55D AND coalesce(try_divide(area, envelope), 0D) >= 0.9D AND coalesce(try_divide(total, area), 99D) <= 1.15D"
@@ -108,25 +108,99 @@ def ssim(a, b) -> Column:
     return ((2 * mx * my + 1e-4) * (2 * cov + 9e-4)) / ((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4))
 
 
-def mask_f1(a, b, limit: int = 128) -> Column:
-    """F1 of the dark masks; 1 if both are empty."""
-    both = F.size(F.filter(F.zip_with(a, b, lambda p, q: (p < limit) & (q < limit)), lambda v: v))
-    na, nb = F.size(F.filter(a, lambda v: v < limit)), F.size(F.filter(b, lambda v: v < limit))
-    return F.when((na == 0) & (nb == 0), 1.0).otherwise(2.0 * both / (na + nb))
+def edges(luma, width: int) -> Column:
+    """Eight times each pixel less its neighbours, within 0..255; the outermost pixels stay as they are."""
+    n = F.size(luma)
 
+    def at(i):
+        inner = (i % width > 0) & (i % width < width - 1) & (i >= width) & (i < n - width)
+        around = [F.get(luma, i + d) for d in (-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1)]
+        total = around[0]
+        for v in around[1:]:
+            total = total + v
+        return F.when(inner, F.greatest(F.lit(0), F.least(F.lit(255), F.get(luma, i) * 8 - total))).otherwise(F.get(luma, i))
 
-def dhash(luma, width: int = 8) -> Column:
-    """One bit for each pair of neighbours in a row that falls, row by row, most significant first."""
+    return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+
+def edge_f1(a, b, width: int = 8, limit: int = 24) -> Column:
+    """F1 of the edge masks; 1 if both are empty, 0 if one is."""
+    pairs = F.zip_with(edges(a, width), edges(b, width), lambda p, q: F.struct((p > limit).alias("a"), (q > limit).alias("b")))
+
+    def score(p):
+        both, either = F.size(F.filter(p, lambda v: v["a"] & v["b"])), F.size(F.filter(p, lambda v: v["a"])) + F.size(F.filter(p, lambda v: v["b"]))
+        return F.when(either == 0, 1.0).otherwise(2.0 * both / either)
+
+    return F.get(F.transform(F.array(pairs), score), F.lit(0))
+
+
+def edge_density(luma, width: int = 8, limit: int = 35, trim: int = 2) -> Column:
+    """Share of edge pixels, without the outer ``trim`` where there is more than that; 0 below two pixels a side."""
+    rows = F.floor(F.size(luma) / width).cast("int")
+    cut = (F.lit(width) > 2 * trim) & (rows > 2 * trim)
+    inside = lambda i: ~cut | ((i % width >= trim) & (i % width < width - trim) & (i >= trim * width) & (i < (rows - trim) * width))
+    kept = F.filter(F.transform(edges(luma, width), lambda v, i: F.when(inside(i), v)), lambda v: v.isNotNull())
+    return F.when((rows < 2) | F.lit(width < 2), 0.0).otherwise(F.get(F.transform(F.array(kept), lambda k: F.size(F.filter(k, lambda v: v > limit)) / F.size(k)), F.lit(0)))
+
+
+def dhash(luma, width: int = 9) -> Column:
+    """One bit for each pair of neighbours in a row that falls, row by row, most significant first; 64 of nine by eight pixels."""
     pairs = F.filter(F.sequence(F.lit(0), F.size(luma) - 2), lambda i: i % width != width - 1)
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, i: acc * 2 + F.when(F.get(luma, i) > F.get(luma, i + 1), 1).otherwise(0))
+    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, i: F.call_function("shiftleft", acc, F.lit(1)).bitwiseOR(F.when(F.get(luma, i) > F.get(luma, i + 1), 1).otherwise(0).cast("bigint")))
 
 
 def border_coverage(luma, width: int = 8, limit: int = 225) -> Column:
-    """Share of dark pixels in the four one-pixel bands; corners count in both of theirs."""
-    def band(keep):
-        i = F.filter(F.sequence(F.lit(0), F.size(luma) - 1), keep)
-        return F.transform(i, lambda k: F.get(luma, k))
-
-    last = F.floor(F.size(luma) / width).cast("int") - 1
-    four = F.concat(band(lambda k: k < width), band(lambda k: F.floor(k / width) == last), band(lambda k: k % width == 0), band(lambda k: k % width == width - 1))
-    return F.size(F.filter(four, lambda v: v < limit)) / F.size(four)
+    """Share of dark pixels in four bands of 1.5 % of the short side, two pixels at least; corners count in both of theirs.
+
+    0 where a side has fewer than three pixels.
+    """
+    rows = F.floor(F.size(luma) / width).cast("int")
+    band = F.greatest(F.lit(2), F.bround(F.least(F.lit(width), rows) * F.lit(0.015)).cast("int"))
+    times = lambda i: sum(c.cast("int") for c in (i < band * width, i >= (rows - band) * width, i % width < band, i % width >= width - band))
+    counted = F.transform(luma, lambda v, i: F.struct(times(i).alias("n"), (v < limit).cast("int").alias("dark")))
+    total = lambda f: F.aggregate(counted, F.lit(0), lambda acc, p: acc + f(p))
+    share = total(lambda p: p["n"] * p["dark"]) / total(lambda p: p["n"])
+    return F.when((rows < 3) | F.lit(width < 3), 0.0).otherwise(share)
+
+
+def text_color(luma) -> Column:
+    """Dark ink on a background whose 65 % rank of grey is light, else white."""
+    at = F.floor((F.size(luma) - 1) * F.lit(0.65)).cast("int")
+    return F.when(F.get(F.array_sort(luma), at) >= 145, "#111111").otherwise("#ffffff")
+
+
+# ---------------------------------------------------------------- rasters as arrays of (r, g, b)
+
+
+def is_artwork(pixels) -> Column:
+    """Whether an image is colourful: 8 % of its pixels or more are, in three or more buckets of 24."""
+    least, most = (lambda p: F.least(p["r"], p["g"], p["b"])), (lambda p: F.greatest(p["r"], p["g"], p["b"]))
+    colorful = F.filter(pixels, lambda p: (most(p) - least(p) >= 28) & (least(p) < 245))
+
+    def judge(found):
+        buckets = F.array_distinct(F.transform(found, lambda p: F.struct(*[F.floor(p[c] / 24).alias(c) for c in "rgb"])))
+        return (F.size(found) >= F.size(pixels) * F.lit(0.08)) & (F.size(buckets) >= 3)
+
+    return F.when(F.size(pixels) > 0, F.get(F.transform(F.array(colorful), judge), F.lit(0))).otherwise(False)
+
+
+def dominant(pixels, k: int = 16) -> Column:
+    """(color, share) of the commonest bucket of ``k``; of several the least (r, g, b)."""
+    b = F.transform(pixels, lambda p: F.struct(*[F.least(F.lit(255), F.floor(p[c] / k).cast("int") * k + k // 2).alias(c) for c in "rgb"]))
+    scored = F.transform(F.array_distinct(b), lambda x: F.struct((-F.size(F.filter(b, lambda y: y == x))).alias("n"), x.alias("color")))
+    return F.get(F.transform(F.array(F.array_min(scored)), lambda m: F.struct(m["color"].alias("color"), (-m["n"] / F.size(pixels)).alias("share"))), F.lit(0))
+
+
+def color_histogram(pixels: DataFrame, *, key: str = "scene_id", least: float = 0.001, apart: int = 10) -> DataFrame:
+    """(key, r, g, b, share): colours in buckets of 8 that are common enough and stand off the background (bg_r, bg_g, bg_b)."""
+    q = pixels.select(key, *[F.least(F.lit(255), F.floor(F.col(c) / 8).cast("int") * 8 + 4).alias(c) for c in "rgb"], "bg_r", "bg_g", "bg_b")
+    n = pixels.groupBy(key).agg(F.count(F.lit(1)).alias("_of"))
+    out = q.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("_n"), *[F.first(f"bg_{c}").alias(f"bg_{c}") for c in "rgb"]).join(n, key)
+    off = F.greatest(*[F.abs(F.col(c) - F.col(f"bg_{c}")) for c in "rgb"])
+    return out.withColumn("share", F.col("_n") / F.col("_of")).where((F.col("share") >= least) & (off >= apart)).select(key, "r", "g", "b", "share")
+
+
+def page_extrema(measures: DataFrame, *, key: str = "scene_id") -> DataFrame:
+    """The worst of each scene's (alignment_error, relation_error, border_coverage, contrast); 0, 0, 1 and 21 for none."""
+    worst = {"alignment_error": (F.max, 0.0), "relation_error": (F.max, 0.0), "border_coverage": (F.min, 1.0), "contrast": (F.min, 21.0)}
+    return measures.groupBy(key).agg(*[F.coalesce(f(c), F.lit(v)).alias(c) for c, (f, v) in worst.items()])

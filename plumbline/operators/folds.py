@@ -80,7 +80,7 @@ def fold(df: DataFrame, rule, *, key: str = "scene_id", order: str = "ordinal")
 
 
 def regular_run(positions: list[int]) -> list[int]:
-    """The longest subset with even gaps: all within max(5, 45 %) of their upper median, which exceeds 4.
+    """The longest subset with even gaps: all within max(5, 45 %) of their upper median, which exceeds 4; three positions at least.
 
     Ties go to the widest span, then to the first in order of combinations. For each gap that may be the upper
     median a dynamic programme finds the longest path over admissible gaps that has it as its median: it keeps, for
@@ -107,7 +107,7 @@ def regular_run(positions: list[int]) -> list[int]:
             if not best or pos[end] - pos[starts[0]] >= best[0]:
                 run = _first_run(pos, back, m, int(starts[0]), most)
                 best = min(best or (pos[end] - pos[starts[0]], run), (pos[end] - pos[starts[0]], run), key=lambda x: (-x[0], x[1]))
-    return [pos[i].item() for i in best[1]] if best else []
+    return [pos[i].item() for i in best[1]] if best and most >= 2 else []
 
 
 def _medians(pos: np.ndarray) -> list[tuple]:

@@ -50,22 +50,40 @@ EVIDENCE = {
     "relation_error": 0.0, "border_coverage": 1.0, "contrast": 21.0, "edge_f1": 0.0, "palette_delta": 1.0, "ssim": 0.0, "text_complete": False, "text_coverage": 0.0,
 }
 
+# What to do about a failed gate, the gates and the measures that prove editability.
 HINTS = {
-    "G_ALIGNMENT": "Move the listed nodes to their measured boxes.",
-    "G_RELATIONSHIPS": "Restore the stated relation between the listed nodes.",
-    "V_CONTRAST": "Raise the contrast of text against its background.",
-    "V_TEXT_COVERAGE": "Draw the missing text.",
-    "R_SINGLE_PAGE": "Fit everything on one page.",
+    "G_ALIGNMENT": "restore measured bounding boxes and constraints",
+    "G_PAGE_GEOMETRY": "restore the source page aspect ratio",
+    "G_BORDER_CONTINUITY": "restore visible native strokes",
+    "V_CONTRAST": "increase foreground-background contrast",
+    "V_EDGE_SIMILARITY": "restore missing or displaced visual edges",
+    "V_PALETTE": "restore the measured source palette",
+    "V_STRUCTURE": "restore the source region hierarchy",
+    "V_TEXT_COVERAGE": "restore missing or undersized native text",
 }
-DEFAULT_HINT = "Rebuild the failing part from native objects."
+DEFAULT_HINT = "rebuild and rerender the affected primitives"
+EVIDENCE_GATES = (*EDITABILITY_GATES[:8], "S_EDITABILITY")
+EVIDENCE_METRICS = ("native_text_ratio", "node_coverage", "native_area_ratio", "largest_raster", "total_raster", "source_reference_embedded", "monolithic")
 
 
-def gates(evidence: DataFrame, *, key: str = "scene_id") -> DataFrame:
-    """(key, gate, ordinal, passed) for every critical gate; columns that are missing or null take the failing side."""
+def evaluated(evidence: DataFrame, *, key: str = "scene_id") -> DataFrame:
+    """One row a scene: ``results`` holds (gate, passed) of every critical gate in policy order, ``complete`` whether the evidence is.
+
+    Columns that are missing or null take the failing side. All is worked out inside the row.
+    """
     have = set(evidence.columns)
-    full = evidence.select(key, *[(F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v)).alias(c) for c, v in EVIDENCE.items()])
-    tests = [F.struct(F.lit(n).alias("gate"), F.lit(i).alias("ordinal"), F.coalesce(F.expr(" AND ".join(f"({CONDITIONS[e]})" for e in EDITABILITY_GATES) if n == "S_EDITABILITY" else CONDITIONS[n]), F.lit(False)).alias("passed")) for i, n in enumerate(CRITICAL_GATES)]
-    return full.select(key, F.explode(F.array(*tests)).alias("g")).select(key, "g.gate", "g.ordinal", "g.passed")
+    full = evidence.select(
+        key,
+        *[(F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v)).alias(c) for c, v in EVIDENCE.items()],
+        F.struct(*[(F.col(c) if c in have else F.lit(None)).alias(c) for c in EVIDENCE_METRICS]).alias("metrics"),
+    ).withColumn("audit_complete", F.col("audit_complete") & F.col("package_integrity"))
+    tests = [F.struct(F.lit(n).alias("gate"), F.coalesce(F.expr(" AND ".join(f"({CONDITIONS[e]})" for e in EDITABILITY_GATES) if n == "S_EDITABILITY" else CONDITIONS[n]), F.lit(False)).alias("passed")) for n in CRITICAL_GATES]
+    return full.select(key, F.array(*tests).alias("results"), (F.col("audit_complete") & F.col("text_complete")).alias("complete"), "metrics")
+
+
+def gates(evidence: DataFrame, *, key: str = "scene_id") -> DataFrame:
+    """(key, gate, ordinal, passed) for every critical gate."""
+    return evaluated(evidence, key=key).select(key, F.posexplode_outer("results").alias("ordinal", "g")).select(key, "g.gate", "ordinal", "g.passed")
 
 
 def findings(results: DataFrame, *, key: str = "scene_id", most: int = 24) -> DataFrame:
@@ -74,37 +92,79 @@ def findings(results: DataFrame, *, key: str = "scene_id", most: int = 24) -> Da
     return results.groupBy(key).agg(F.slice(F.transform(failed, lambda s: s["gate"]), 1, most).alias("findings"))
 
 
-def hints(results: DataFrame) -> DataFrame:
-    """Failed gates with what to do about them."""
+def hint_of(gate) -> F.Column:
     table = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])
-    return results.where("NOT passed").withColumn("hint", F.coalesce(F.try_element_at(table, F.col("gate")), F.lit(DEFAULT_HINT)))
+    return F.coalesce(F.try_element_at(table, gate), F.lit(DEFAULT_HINT))
 
 
-def status(results: DataFrame, complete: DataFrame | None = None, *, key: str = "scene_id", editability=EDITABILITY_GATES) -> DataFrame:
-    """PASS if every gate passes; else INCOMPLETE without complete evidence; else what kind of gate failed."""
-    s = results.groupBy(key).agg(F.bool_and("passed").alias("all_passed"), F.bool_and(F.when(F.col("gate").isin(*editability), F.col("passed")).otherwise(True)).alias("editable"))
-    s = s.withColumn("complete", F.lit(True)) if complete is None else s.join(complete.select(key, "complete"), key, "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
-    case = F.when(F.col("all_passed"), "PASS").when(~F.col("complete"), "VALIDATION_INCOMPLETE").when(~F.col("editable"), "EDITABILITY_FAILED").otherwise("FIDELITY_FAILED")
-    return s.select(key, case.alias("status"))
+def hints(results: DataFrame) -> DataFrame:
+    """Failed gates with what to do about them."""
+    return results.where("NOT passed").withColumn("hint", hint_of(F.col("gate")))
 
 
-def report(evidence: DataFrame, *, key: str = "scene_id") -> DataFrame:
-    """One row a scene: status, gates as a map, findings and hints."""
-    results = gates(evidence, key=key)
-    have = set(evidence.columns)
-    ok = [F.coalesce(F.col(c), F.lit(False)) if c in have else F.lit(False) for c in ("audit_complete", "raster_text_complete", "text_complete")]
-    complete = evidence.select(key, (ok[0] & ok[1] & ok[2]).alias("complete"))
-    as_map = results.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gate", "passed"))).alias("gates"))
-    return status(results, complete, key=key).join(as_map, key).join(findings(results, key=key), key).withColumn("version", F.lit(POLICY_VERSION))
+def status_of(all_passed, complete, editable) -> F.Column:
+    """PASS if every gate passes; else INCOMPLETE without complete evidence; else what kind of gate failed."""
+    return F.when(all_passed, "PASS").when(~complete, "VALIDATION_INCOMPLETE").when(~editable, "EDITABILITY_FAILED").otherwise("FIDELITY_FAILED")
 
 
-def evidence_complete(reports: DataFrame, needed=EDITABILITY_GATES[:9]) -> DataFrame:
-    """Reports that passed and carry every needed gate as true; a missing gate counts as false."""
-    return reports.where(F.col("status") == "PASS").where(F.forall(F.array(*[F.lit(g) for g in needed]), lambda g: F.coalesce(F.try_element_at("gates", g), F.lit(False))))
+def status(results: DataFrame, complete: DataFrame | None = None, *, key: str = "scene_id", editability=EDITABILITY_GATES) -> DataFrame:
+    s = results.groupBy(key).agg(F.bool_and("passed").alias("all_passed"), F.bool_and(F.when(F.col("gate").isin(*editability), F.col("passed")).otherwise(True)).alias("editable"))
+    s = s.withColumn("complete", F.lit(True)) if complete is None else s.join(complete.select(key, "complete"), key, "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+    return s.select(key, status_of(F.col("all_passed"), F.col("complete"), F.col("editable")).alias("status"))
+
+
+def report(evidence: DataFrame, *, key: str = "scene_id", most: int = 24) -> DataFrame:
+    """One row a scene: status, gates as a map, findings, hints and the editability measures. No shuffle."""
+    passed = lambda g: F.exists("results", lambda r: (r["gate"] == g) & r["passed"])
+    failed = F.transform(F.filter("results", lambda r: ~r["passed"]), lambda r: r["gate"])
+    out = evaluated(evidence, key=key).withColumns({"findings": F.slice(failed, 1, most), "editable": passed("S_EDITABILITY")})
+    return out.select(
+        key,
+        status_of(F.forall("results", lambda r: r["passed"]), F.col("complete"), F.col("editable")).alias("status"),
+        F.map_from_entries("results").alias("gates"),
+        "findings",
+        F.transform("findings", lambda g: F.struct(g.alias("gate"), hint_of(g).alias("action"))).alias("correction_hints"),
+        F.struct(F.col("editable").alias("passed"), "metrics.*").alias("editability"),
+        F.lit(POLICY_VERSION).alias("version"),
+    )
+
+
+def evidence_complete(reports: DataFrame) -> DataFrame:
+    """Reports that passed, are editable, carry every needed gate as true and every needed measure; what is missing counts against them."""
+    gates_ = F.forall(F.array(*[F.lit(g) for g in EVIDENCE_GATES]), lambda g: F.coalesce(F.try_element_at("gates", g), F.lit(False)))
+    measured = [F.col(f"editability.{m}").isNotNull() for m in EVIDENCE_METRICS]
+    out = reports.where((F.col("status") == "PASS") & F.coalesce(F.col("editability.passed"), F.lit(False)) & gates_)
+    for m in measured:
+        out = out.where(m)
+    return out
 
 
 def incomplete(reports: DataFrame) -> DataFrame:
     """Reports with the audit gates turned off and one more finding, for evidence that could not be taken."""
     off = F.create_map(F.lit("G_PACKAGE_MEDIA_AUDIT"), F.lit(False), F.lit("S_EDITABILITY"), F.lit(False))
     rest = F.map_filter("gates", lambda k, v: ~k.isin("G_PACKAGE_MEDIA_AUDIT", "S_EDITABILITY"))
-    return reports.withColumn("gates", F.map_concat(rest, off)).withColumn("findings", F.array_union("findings", F.array(F.lit("G_PACKAGE_MEDIA_AUDIT")))).withColumn("status", F.lit("VALIDATION_INCOMPLETE"))
+    out = reports.withColumn("gates", F.map_concat(rest, off)).withColumn("findings", F.array_union("findings", F.array(F.lit("G_PACKAGE_MEDIA_AUDIT")))).withColumn("status", F.lit("VALIDATION_INCOMPLETE"))
+    return out.withColumn("editability", F.col("editability").withField("passed", F.lit(False))) if "editability" in reports.columns else out
+
+
+def reopened(measures: DataFrame) -> DataFrame:
+    """Gates of a document that was opened again (opened, nonwhite, pages): accepted, and which gates failed."""
+    tests = F.array(F.when(F.coalesce(F.col("nonwhite"), F.lit(0.0)) < 0.002, F.lit("R_NONBLANK")), F.when(~F.col("pages").eqNullSafe(F.lit(1)), F.lit("R_SINGLE_PAGE")))
+    failed = F.when(F.coalesce("opened", F.lit(False)), F.array_compact(tests)).otherwise(F.array(F.lit("R_REOPEN")))
+    return measures.withColumn("failed_gates", failed).withColumn("accepted", F.size("failed_gates") == 0)
+
+
+def word_ratio(rendered, reference) -> F.Column:
+    """Rendered words as a share of the reference's, at most 1; 1 where that has none, null where either was not measured."""
+    share = F.least(F.lit(1.0), F.try_divide(rendered.cast("double"), F.nullif(reference.cast("double"), F.lit(0.0))))
+    return F.when(rendered.isNotNull() & reference.isNotNull(), F.coalesce(share, F.lit(1.0)))
+
+
+def text_coverage(nodes: DataFrame, *, key: str = "scene_id", least_ink: float = 0.30) -> DataFrame:
+    """(key, text_complete, text_coverage) of text nodes' ink densities (reference_density, rendered_density).
+
+    A node's ratio is rendered over reference ink, at most 1, and 0 without reference ink; it counts from ``least_ink``
+    on. The measure is complete if every reference holds some ink.
+    """
+    ratio = F.when(F.col("reference_density") > 0, F.least(F.lit(1.0), F.col("rendered_density") / F.col("reference_density"))).otherwise(0.0)
+    return nodes.groupBy(key).agg(F.bool_and(F.col("reference_density") >= 0.002).alias("text_complete"), F.avg((ratio >= least_ink).cast("double")).alias("text_coverage"))

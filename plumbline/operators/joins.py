@@ -102,10 +102,11 @@ def point_in_cell(points: DataFrame, lines: DataFrame, *, key: str = "scene_id")
 
 
 def token_overlap(a: DataFrame, b: DataFrame, *, key: str) -> DataFrame:
-    """Rows of ``a`` with whether their tokens meet those of ``b`` under the same key."""
+    """Rows of ``a`` without their text, with whether its tokens meet those of ``b`` under the same key."""
     tokens = lambda c: F.array_distinct(F.filter(F.split(t.normalize(F.col(c)), " "), lambda x: x != ""))
     other = b.select(key, F.col("text").alias("_other"))
-    return a.join(other, key).select(key, F.arrays_overlap(tokens("text"), tokens("_other")).alias("duplicate"))
+    rest = [c for c in a.columns if c != "text"]
+    return a.join(other, key).select(*rest, F.arrays_overlap(tokens("text"), tokens("_other")).alias("duplicate"))
 
 
 def nearest_words(tokens: DataFrame, dictionary: DataFrame, *, share: float = 0.45) -> DataFrame:

@@ -81,6 +81,64 @@ def rasters(spark, sf_dir) -> DataFrame:
     return e.select("vec_id", luma.alias("luma"))
 
 
+def hash_rasters(spark, sf_dir) -> DataFrame:
+    """Each vector as nine by eight luma: its 64 and the first eight again."""
+    return rasters(spark, sf_dir).select("vec_id", F.concat("luma", F.slice("luma", 1, 8)).alias("luma"))
+
+
+def color_rasters(spark, sf_dir) -> DataFrame:
+    """Each vector as 21 colour pixels: three luma after the other; the last one is left over."""
+    pixel = lambda i: F.struct(*[F.get("luma", 3 * i + k).alias(c) for k, c in enumerate("rgb")])
+    return rasters(spark, sf_dir).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(20)), pixel).alias("pixels"))
+
+
+def scene_nodes(spark, sf_dir) -> DataFrame:
+    """Nodes with text, style and image columns."""
+    n = nodes(spark, sf_dir)
+    return n.withColumns(
+        {
+            "value": F.expr("CASE WHEN type = 'text' THEN concat('T', raw_id, ' x') END"),
+            "direction": F.expr("CASE WHEN type = 'text' THEN CASE ordinal % 3 WHEN 0 THEN 'rtl' WHEN 1 THEN 'ltr' ELSE 'mixed' END END"),
+            "color": F.expr("CASE WHEN type = 'text' THEN concat('#00000', raw_id) END"),
+            "stroke_width": F.expr("CASE WHEN type <> 'text' THEN CAST(z % 3 AS DOUBLE) END"),
+            "raster_justification": F.expr("CASE WHEN type = 'image' THEN CASE ordinal % 4 WHEN 0 THEN 'source_photo' WHEN 1 THEN 'source_artwork' WHEN 2 THEN NULL ELSE 'wallpaper' END END"),
+            "content_ref": F.expr("CASE WHEN type = 'image' THEN CASE WHEN z % 2 = 0 THEN 'reference-region:1' ELSE 'upload:1' END END"),
+        }
+    )
+
+
+def objects(spark, sf_dir) -> DataFrame:
+    """Recovered objects with the kind of their shape; images grow so that some fill pages."""
+    a = actuals(spark, sf_dir)
+    grown = a.withColumns({"w": F.expr("CASE WHEN type = 'image' THEN w * 3 ELSE w END"), "h": F.expr("CASE WHEN type = 'image' THEN h * 8 ELSE h END")})
+    return grown.withColumn("shape_type", F.expr("CASE WHEN type = 'image' THEN CASE WHEN z % 2 = 0 THEN 'GraphicObjectShape' ELSE 'TextFrame' END ELSE 'CustomShape' END"))
+
+
+def packages(spark, sf_dir) -> DataFrame:
+    """(scene_id, integrity, dhash) of each scene's package and its source."""
+    n = nodes(spark, sf_dir).select("scene_id").distinct()
+    return n.select("scene_id", (F.col("scene_id") % 17 != 0).alias("integrity"), (F.col("scene_id") * 7919).alias("dhash"))
+
+
+def media(spark, sf_dir) -> DataFrame:
+    """(scene_id, name, dhash): one media part for each image of a scene."""
+    i = nodes(spark, sf_dir).where("type = 'image'")
+    name = F.expr("concat('word/media/image', ordinal, CASE WHEN ordinal % 5 = 0 THEN '.EMF' ELSE '.png' END)")
+    return i.select("scene_id", name.alias("name"), (F.col("scene_id") * 7919).bitwiseXOR(F.expr("CASE WHEN ordinal % 3 = 0 THEN 5L ELSE 1023L END")).alias("dhash"))
+
+
+def package_texts(spark, sf_dir) -> DataFrame:
+    """(scene_id, text): the values of most text nodes of a scene, in order."""
+    n = scene_nodes(spark, sf_dir).where("type = 'text' AND ordinal % 6 <> 5")
+    return n.groupBy("scene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda s: s["value"]), "  ").alias("text"))
+
+
+def read_texts(spark, sf_dir) -> DataFrame:
+    """(scene_id, id, text) read from image regions; null where nothing could be read."""
+    i = nodes(spark, sf_dir).where("type = 'image'")
+    return i.select("scene_id", "id", F.expr("CASE WHEN raw_id % 3 = 0 THEN concat('t', raw_id, ' y') WHEN raw_id % 3 = 2 AND scene_id % 5 = 0 THEN NULL ELSE '' END").alias("text"))
+
+
 def raster_pairs(spark, sf_dir) -> DataFrame:
     """Each raster with that of the next number."""
     r = rasters(spark, sf_dir)
@@ -89,7 +147,7 @@ def raster_pairs(spark, sf_dir) -> DataFrame:
 
 def jobs(spark, sf_dir) -> DataFrame:
     status = F.expr("CASE event_type WHEN 'purchase' THEN 'PASS' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"), F.when(F.col("event_type") == "error", F.concat(F.lit("E"), (F.col("event_id") % 4).cast("string"))).alias("error_code"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"), F.expr("CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'FIDELITY_FAILED' WHEN 1 THEN 'PACKAGE_INVALID' WHEN 2 THEN 'E2' ELSE 'TIMEOUT' END END").alias("error_code"))
 
 
 #: Gates of the carrier in policy order.
