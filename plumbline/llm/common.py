@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as every contract here means it.
 WS_CLASS = r"[\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the vectorised code; a longer document is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _ODD, _SEQ_BASE = _U(0x9E3779B97F4A7C15), 0xD1342543DE82EF95 | 1
@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share; a local one only where the session names none, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -20,7 +20,7 @@ Equal sets are one node from the start, so copies are never paired. Sets that sh
 * First every set meets the group's smaller sets as pivots (in a group of at most ``SMALL`` all its sets), and
   of what the sketches leave open each node verifies its closest pair on the whole sets.
 * What shares a group but no component yet is then compared by sketches, block by block, across components only;
-  first the closest of each node is verified, then the eight closest, then all that is left. Every pair that shares
+  first the closest of each node is verified, then all that is left. Every pair that shares
   a signature is thus in one component, settled by sketches, or verified: no link is lost, and near copies are
   rarely compared twice.
 
@@ -56,16 +56,16 @@ COUNTERS = 1 << 17
 FREQUENT = 2 / COUNTERS
 #: Bits of the map that lets only candidates' texts through the scan for sets (4 MiB, whatever the data).
 MAP_BITS = 1 << 25
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: In a group of at most so many sets all pairs are looked at in the first round; larger ones are cut in chunks.
 SMALL = 12
-CHUNK = 2048
+CHUNK = 512
 #: Bytes of postings that a range of the hash space should hold.
 RANGE_BYTES = 32 << 20
 #: A node with more than this share of all pairs is dealt to so many salts.
 HOT_SHARE, SALTS = 1024, 32
 #: How many of its closest partners a node verifies in one round after the other; None stands for all.
-CLOSEST = (1, 8, None)
+CLOSEST = (1, None)
 _U = np.uint64
 
 
@@ -158,16 +158,21 @@ class Frequent:
 
 def _describe(batches):
     """kind 0: a = id, b = set size, c = set fingerprint, sketch; kind 1: a token of a task's counters, b its count."""
-    heavy = Frequent()
+    heavy, held, n = Frequent(), [], 0
     for b in batches:
         data, offsets = byte_view(b.column(1))
         for i, j in spans(offsets):
             sets = list(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-            if sets:
-                heavy.add(np.concatenate(sets))
+            held += sets
+            n += sum(map(len, sets))
+            if n >= FLUSH:
+                heavy.add(np.concatenate(held))
+                held, n = [], 0
             size = np.array([len(s) for s in sets], np.int64)
             keys = np.array([set_key(s) if len(s) else 0 for s in sets], np.int64)
             yield batch(kind=np.zeros(len(sets), np.int32), a=b.column(0).slice(i, j - i), b=size, c=keys, sketch=pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()))
+    if held:
+        heavy.add(np.concatenate(held))
     keep = heavy.counts > 1
     n = int(keep.sum())
     yield batch(kind=np.ones(n, np.int32), a=heavy.keys[keep].view(np.int64), b=heavy.counts[keep], c=np.zeros(n, np.int64), sketch=pa.nulls(n, pa.binary()))
