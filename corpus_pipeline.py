@@ -3,6 +3,11 @@
 Language ID drops what it rejects; exact dedup keeps the smallest id of equal texts; the Jaccard join keeps the
 smallest id of each component; decontamination drops documents that leak a benchmark item; BPE tokenises the
 rest. All stages but the last return the columns of documents.
+
+Defined results: a null or empty text has no letter and goes with the language stage; without any labelled language
+that stage rejects nothing. Of equal texts the smallest id stays; a row with a null id goes where another row has its
+text with an id. Rows that repeat an id go together when that id is dropped by the third or fourth stage. Empty tables
+pass through all stages; extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ STAGES = [
     ("benchmark_decontamination", stage_decontaminate),
     ("bpe", stage_bpe),
 ]
-#: SQL cannot express language models, byte-pair merges or components; tests compare with a brute-force version.
+#: SQL cannot express language models, byte-pair merges or components; the stages' operators have brute-force tests of their own.
 ORACLE_SQL = None
 
 
