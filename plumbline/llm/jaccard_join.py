@@ -300,11 +300,13 @@ def _pivot_pairs(batches):
         yield batch(a=x[first], b=y[first])
 
 
-def _hot(pairs: DataFrame, end: str) -> list[int]:
-    """The nodes with more than a fixed share of all pairs: at most HOT_SHARE."""
-    counts = pairs.groupBy(end).count()
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    return [r[0] for r in counts.where(F.col("count") > max(4096, total // HOT_SHARE)).select(end).collect()]
+def _hot(pairs: DataFrame) -> dict[str, list[int]]:
+    """For each end the nodes with more than a fixed share of all pairs: at most HOT_SHARE."""
+    total = pairs.count()
+    least = max(4096, total // HOT_SHARE)
+    if total <= least:
+        return {"a": [], "b": []}
+    return {end: [r[0] for r in pairs.groupBy(end).count().where(F.col("count") > least).select(end).collect()] for end in ("a", "b")}
 
 
 def _attach(pairs: DataFrame, end: str, table: DataFrame, hot: list[int]) -> DataFrame:
@@ -333,9 +335,9 @@ def _near(batches):
 
 def _open_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, apart) of what may link."""
-    known = nodes.select("key", "n", "sketch")
-    with_a = _attach(pairs, "a", known.withColumnsRenamed({"n": "x", "sketch": "u"}), _hot(pairs, "a"))
-    both = _attach(with_a, "b", known.withColumnsRenamed({"n": "y", "sketch": "v"}), _hot(pairs, "b"))
+    known, hot = nodes.select("key", "n", "sketch"), _hot(pairs)
+    with_a = _attach(pairs, "a", known.withColumnsRenamed({"n": "x", "sketch": "u"}), hot["a"])
+    both = _attach(with_a, "b", known.withColumnsRenamed({"n": "y", "sketch": "v"}), hot["b"])
     return both.select("a", "b", "x", "y", "u", "v").mapInArrow(_near, "a long, b long, apart double")
 
 
@@ -437,9 +439,9 @@ class _Linker:
 
     def _common(self, pairs: DataFrame, bits: int) -> tuple[DataFrame, str]:
         """(a, b, na, nb, lost, common): sizes, how many tokens fell together at most, and how many are shared."""
-        sets = self._sets(pairs, bits)
-        with_a = _attach(pairs, "a", sets.withColumnsRenamed({"n": "na", "tokens": "x"}), _hot(pairs, "a"))
-        both = _attach(with_a, "b", sets.withColumnsRenamed({"n": "nb", "tokens": "y"}), _hot(pairs, "b"))
+        sets, hot = self._sets(pairs, bits), _hot(pairs)
+        with_a = _attach(pairs, "a", sets.withColumnsRenamed({"n": "na", "tokens": "x"}), hot["a"])
+        both = _attach(with_a, "b", sets.withColumnsRenamed({"n": "nb", "tokens": "y"}), hot["b"])
         lost = F.least(F.col("na") - F.size("x"), F.col("nb") - F.size("y"))
         return both.select("a", "b", "na", "nb", lost.alias("lost"), F.size(F.array_intersect("x", "y")).alias("common")), sets.scratch
 
@@ -544,9 +546,10 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             continue
         found = linker.verify(rest)
         tables += [rest.scratch, found.scratch]
-        done, links = done.union(rest), links.union(found)
+        done = done.union(rest)
         old = labels.scratch
-        labels = materialise(components(links, label="op9-cc"), "op9-labels")
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = materialise(components(known.union(found), label="op9-cc"), "op9-labels")
         release(spark, old)
     release(spark, groups.scratch, near.scratch, *tables)
 

@@ -261,8 +261,11 @@ def test_signatures_lose_no_link():
 
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 9), (5, 5), (None, 1)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components.components(edges).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, **{i: 100 for i in range(100, 141)}}
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, **{i: 100 for i in range(100, 141)}}
+    for chunk in (components.CHUNK, 4):  # contracted by one task, and by rounds over many forests
+        got = [(r["node"], r["component"]) for r in components.components(edges, chunk=chunk).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert components.components(edges.limit(0)).count() == 0
 
 
 def test_decontaminate(spark, docs, rows, empty):
