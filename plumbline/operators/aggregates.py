@@ -17,6 +17,20 @@ def ratio(part, whole) -> Column:
     return F.least(F.lit(1.0), F.coalesce(F.try_divide(part.cast("double"), F.nullif(whole.cast("double"), F.lit(0.0))), F.lit(1.0)))
 
 
+def ordered(order, *values) -> Column:
+    """A group's rows of ``order`` and ``values``, by ``order``, for ``ordered_sum``."""
+    return F.array_sort(F.collect_list(F.struct(*order, *values)))
+
+
+def ordered_sum(rows, value) -> Column:
+    """The sum of ``value`` of each row, added one by one in the rows' order; nulls count as 0.
+
+    Doubles added in another order may differ in the last bit, which decides where a share meets its threshold; a plain sum
+    adds rows as they arrive, and after a shuffle they arrive anyhow.
+    """
+    return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + F.coalesce(value(r), F.lit(0.0)))
+
+
 def union_area(boxes: DataFrame, *, key: str = "scene_id") -> DataFrame:
     """Exact area covered by each scene's boxes inside the unit square: vertical slabs of merged intervals."""
     b = boxes.select(key, F.greatest(F.lit(0.0), "x").alias("x0"), F.greatest(F.lit(0.0), "y").alias("y0"), F.least(F.lit(1.0), F.col("x") + F.col("w")).alias("x1"), F.least(F.lit(1.0), F.col("y") + F.col("h")).alias("y1")).where("x1 > x0 AND y1 > y0")

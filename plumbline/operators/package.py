@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..sources.scratch import cut
-from .aggregates import tiling, union_area
+from .aggregates import ordered, ordered_sum, tiling, union_area
 from .joins import last_by_id
 from .scenes import JUSTIFICATIONS
 
@@ -96,8 +96,10 @@ def audit(pages: DataFrame, expected: DataFrame, actual: DataFrame, media: DataF
     by_page = own.groupBy(key).agg(
         share(F.count_if(is_text & F.col("_said")), F.count_if(is_text)).alias("native_text_ratio"),
         share(F.count_if(is_other & F.col("_native")), F.count_if(is_other)).alias("node_coverage"),
-        F.least(F.lit(1.0), share(F.sum(F.when(is_other & F.col("_native"), area).otherwise(0.0)), F.sum(F.when(is_other, area).otherwise(0.0)))).alias("native_area_ratio"),
+        ordered(["ordinal", "id"], "_native", F.when(is_other, area).alias("_area")).alias("_areas"),
     )
+    native, whole = ordered_sum("_areas", lambda r: F.when(r["_native"], r["_area"])), ordered_sum("_areas", lambda r: r["_area"])
+    by_page = by_page.withColumn("native_area_ratio", F.least(F.lit(1.0), share(native, whole))).drop("_areas")
     objects = actual.withColumn("_image", is_image_shape(F.col("shape_type")))
     counts = objects.groupBy(key).agg(F.count_if("_image").alias("embedded_image_objects"), F.count_if(~F.col("_image")).alias("native_shape_objects"))
 
