@@ -48,3 +48,8 @@ def agrees(spark, tables, query):
 def test_fidelity_report_on_a_threshold(scattered, tables):
     got, said = agrees(scattered, tables, "fidelity_report")
     assert len(got) == 60 and got == said
+
+
+def test_gate_hints_on_a_threshold(scattered, tables):
+    got, said = agrees(scattered, tables, "gate_hints")
+    assert got and got == said
