@@ -3,8 +3,9 @@
 A byte pair that no vocabulary token contains can never be merged over, so a cut between its two bytes is
 certain wherever it occurs. Every pre-token is cut at those pairs; the fragments are encoded on their own and
 their ids concatenated, which gives the ids of the whole. Words repeat, so each worker encodes a word once and
-looks it up afterwards; its tables are emptied when they reach a fixed number of entries, which costs time
-and changes no result.
+looks it up afterwards; its tables are emptied when they reach a fixed number of entries and at the end of each
+task, which costs time and changes no result. Workers live on between tasks, and what they hold counts in later
+steps too.
 
 The vocabulary file is a parameter and is read where the work is done. Null text counts as empty, and an empty
 text gives no ids; texts of any length are encoded whole; rows may repeat and ids may be null.
@@ -16,6 +17,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -122,6 +124,11 @@ class ForcedBoundaryBpe:
             found = self.shown[raw] = (" ".join([self.decimal[i] for i in ids]), " ".join([self.token[i] for i in ids]), ids)
         return found
 
+    def forget(self) -> None:
+        """Empty the tables of words."""
+        self.ids_of.clear()
+        self.shown.clear()
+
     def encode(self, text: str | None) -> list[int]:
         chunk = self.chunk
         return [i for raw in (text or "").encode().split() for i in chunk(raw)[2]]
@@ -160,6 +167,16 @@ def load(path: str, specials: bool = True) -> ForcedBoundaryBpe:
     return _loaded[path, specials]
 
 
+@contextmanager
+def loaded(path: str, specials: bool = True):
+    """The encoder of a file for one task; its tables of words end with it."""
+    bpe = load(path, specials)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -172,10 +189,10 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
     schema = docs.limit(0).withColumn(out_col, F.lit(None).cast("array<int>")).schema
 
     def run(batches):
-        bpe = load(path)
-        for b in batches:
-            ids = [bpe.encode(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, out_col])
+        with loaded(path) as bpe:
+            for b in batches:
+                ids = [bpe.encode(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, out_col])
 
     return docs.mapInArrow(run, schema)
 
@@ -186,10 +203,10 @@ def decode(rows: DataFrame, *, ids_col: str = "token_ids", path: str | None = No
     schema = rows.limit(0).withColumn(out_col, F.lit(None).cast("string")).schema
 
     def run(batches):
-        bpe = load(path)
-        for b in batches:
-            texts = [None if ids is None else bpe.decode(ids) for ids in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
+        with loaded(path) as bpe:
+            for b in batches:
+                texts = [None if ids is None else bpe.decode(ids) for ids in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
     return rows.mapInArrow(run, schema)
 
@@ -199,13 +216,13 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     path = path or default_vocabulary()
 
     def run(batches):
-        bpe = load(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [bpe.digest(t) for t in part.column(1).to_pylist()]
-                n, ids, decoded = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with loaded(path) as bpe:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    found = [bpe.digest(t) for t in part.column(1).to_pylist()]
+                    n, ids, decoded = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -215,13 +232,13 @@ def tokenised(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches):
-        bpe = load(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = part.column(3).to_pylist()
-                n, ids, decoded = zip(*map(bpe.digest, texts), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"])
+        with loaded(path) as bpe:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    texts = part.column(3).to_pylist()
+                    n, ids, decoded = zip(*map(bpe.digest, texts), strict=True)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"])
 
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>")
 

@@ -93,6 +93,18 @@ def test_bpe_equals_library(spark, docs, rows, empty):
     assert back["decoded"] == "one</w>"
 
 
+def test_bpe_tables_end_with_their_task(spark, docs):
+    def held(batches):
+        for b in batches:
+            n = sum(len(x.ids_of) + len(x.shown) for x in bpe._loaded.values())
+            yield common.batch(n=np.full(b.num_rows, n), loaded=np.full(b.num_rows, len(bpe._loaded)))
+
+    for work in (bpe.digests, bpe.tokenised, bpe.encode, lambda d: bpe.decode(bpe.encode(d))):
+        work(docs).write.format("noop").mode("overwrite").save()
+        left = spark.range(64, numPartitions=4).mapInArrow(held, "n long, loaded long").agg(F.max("n"), F.max("loaded")).first()
+        assert left[0] == 0 and left[1] > 0
+
+
 def test_language_id(spark, empty):
     rng = random.Random(1)
     words = {"en": ["the", "and", "with", "thing", "shore", "night"], "fr": ["le", "une", "être", "pour", "vous", "quai"]}
