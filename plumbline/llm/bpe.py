@@ -5,7 +5,7 @@ certain wherever it occurs. Every pre-token is cut at those pairs; the fragments
 their ids concatenated, which gives the ids of the whole. Words repeat, so each worker encodes a word once and
 looks it up afterwards; its tables are emptied when they reach a fixed number of entries and at the end of each
 task, which costs time and changes no result. Workers live on between tasks, and what they hold counts in later
-steps too.
+steps too; part of the tables' memory stays with a worker even when they are empty, so their size counts.
 
 The vocabulary file is a parameter and is read where the work is done. Null text counts as empty, and an empty
 text gives no ids; texts of any length are encoded whole; rows may repeat and ids may be null.
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import models
 
-from .common import read_documents
+from .common import give_back_memory, read_documents
 
 CACHE_ENTRIES = 300_000
+#: Entries where token ids are written too: what a worker holds at most stays with it in part, beside a JVM with a full heap.
+TOKENISED_ENTRIES = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -60,6 +62,7 @@ class ForcedBoundaryBpe:
         self.usual = pre == _USUAL
         self.decimal = {i: str(i) for i in self.token}
         self.never = self._forced_cuts()
+        self.entries = CACHE_ENTRIES
         self.ids_of: dict[str, list[int]] = {}
         self.shown: dict[bytes, tuple[str, str, list[int]]] = {}
 
@@ -82,15 +85,18 @@ class ForcedBoundaryBpe:
         """The ids of one pre-token (already normalised): its fragments' ids, one after the other."""
         found = self.ids_of.get(word)
         if found is None:
-            symbols = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
-            *inner, last = self._fragments(symbols)
-            found = [t.id for piece in inner for t in self.inner.tokenize(piece)]
-            found += [t.id for t in self.ending.tokenize(last)]
-            if len(self.ids_of) >= CACHE_ENTRIES:
+            found = self._encoded(word)
+            if len(self.ids_of) >= self.entries:
                 self.ids_of.clear()
             self.ids_of[word] = found
         return found
 
+    def _encoded(self, word: str) -> list[int]:
+        symbols = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
+        *inner, last = self._fragments(symbols)
+        found = [t.id for piece in inner for t in self.inner.tokenize(piece)]
+        return found + [t.id for t in self.ending.tokenize(last)]
+
     def pieces(self, text: str):
         """Pre-tokens in order; a special token's string comes as its id."""
         at = 0
@@ -115,19 +121,24 @@ class ForcedBoundaryBpe:
             if raw.isascii() and b"<|" not in raw:
                 pieces = _ASCII_WORDS(raw.decode().lower()) if self.usual else self.words.findall(raw.decode().lower())
             else:
-                pieces = self.pieces(raw.decode())
+                pieces = list(self.pieces(raw.decode()))
+            word = self.encode_word if len(pieces) > 1 else self._encoded  # a piece that stands alone needs no second entry
             ids: list[int] = []
             for p in pieces:
-                ids += [p] if isinstance(p, int) else self.encode_word(p)
-            if len(self.shown) >= CACHE_ENTRIES:
+                ids += [p] if isinstance(p, int) else word(p)
+            if len(self.shown) >= self.entries:
                 self.shown.clear()
             found = self.shown[raw] = (" ".join([self.decimal[i] for i in ids]), " ".join([self.token[i] for i in ids]), ids)
         return found
 
     def forget(self) -> None:
-        """Empty the tables of words."""
+        """Empty the tables of words, the models' own too, and give their memory back."""
         self.ids_of.clear()
         self.shown.clear()
+        for model in (self.inner, self.ending):
+            if hasattr(model, "_clear_cache"):
+                model._clear_cache()
+        give_back_memory()
 
     def encode(self, text: str | None) -> list[int]:
         chunk = self.chunk
@@ -139,10 +150,15 @@ class ForcedBoundaryBpe:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids and of the decoded text."""
+        return self.digest_and_ids(text)[:3]
+
+    def digest_and_ids(self, text: str | None) -> tuple[int, str, str, list[int]]:
+        """What ``digest`` gives, and the ids."""
         seen, chunk = self.shown, self.chunk
         found = [f for raw in (text or "").encode().split() if (f := seen.get(raw) or chunk(raw))[2]]
         ids, decoded = " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
-        return sum([len(f[2]) for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        numbers = [i for f in found for i in f[2]]
+        return len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), numbers
 
 
 #: The pre-token pattern whose matches in ASCII text without white space the plainer pattern below also finds.
@@ -168,12 +184,14 @@ def load(path: str, specials: bool = True) -> ForcedBoundaryBpe:
 
 
 @contextmanager
-def loaded(path: str, specials: bool = True):
-    """The encoder of a file for one task; its tables of words end with it."""
+def loaded(path: str, specials: bool = True, entries: int | None = None):
+    """The encoder of a file for one task, with at most ``entries`` in each table of words; the tables end with it."""
     bpe = load(path, specials)
+    bpe.entries = entries or CACHE_ENTRIES
     try:
         yield bpe
     finally:
+        bpe.entries = CACHE_ENTRIES
         bpe.forget()
 
 
@@ -232,13 +250,12 @@ def tokenised(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches):
-        with loaded(path) as bpe:
+        with loaded(path, entries=TOKENISED_ENTRIES) as bpe:
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    texts = part.column(3).to_pylist()
-                    n, ids, decoded = zip(*map(bpe.digest, texts), strict=True)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"])
+                    n, ids, decoded, tokens = zip(*map(bpe.digest_and_ids, part.column(3).to_pylist()), strict=True)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"])
 
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>")
 

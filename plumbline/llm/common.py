@@ -47,6 +47,16 @@ def _return_memory() -> None:
 
 _return_memory()
 
+
+def give_back_memory() -> None:
+    """Empty Python's free lists and give gaps of the heap back to the system, as far as nothing live lies between."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- scratch tables
 
 

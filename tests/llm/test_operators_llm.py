@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,29 @@ def test_bpe_tables_end_with_their_task(spark, docs):
         assert left[0] == 0 and left[1] > 0
 
 
+def test_bpe_tables_of_tokenised_are_smaller():
+    held = []
+
+    class Rows:
+        """Runs the function of mapInArrow here, and looks at the tables after each batch."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            texts = [" ".join(f"w{i}q{j}" for j in range(500)) for i in range(400)]
+            batches = (pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["en"]), pa.array(["s"]), pa.array([t])], names=["doc_id", "lang", "source", "text"]) for i, t in enumerate(texts))
+            for i, out in enumerate(run(batches)):
+                held.append(max(max(len(b.shown), len(b.ids_of)) for b in bpe._loaded.values()))
+                if i % 100 == 0:
+                    want = whole.encode(texts[i], add_special_tokens=False).ids
+                    assert out.column(3)[0].as_py() == len(want) and out.column(6)[0].as_py() == want
+
+    whole = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_vocabulary())
+    bpe.tokenised(Rows())
+    assert len(held) == 400 and max(held) <= 100_000
+
+
 def test_language_id(spark, empty):
     rng = random.Random(1)
     words = {"en": ["the", "and", "with", "thing", "shore", "night"], "fr": ["le", "une", "être", "pour", "vous", "quai"]}
